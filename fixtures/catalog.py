@@ -66,7 +66,7 @@ def check(name: str, sql: str | None):
 
     def register(build: Callable[[Survey], DataFrame]):
         CATALOG[name] = (
-            lambda spark, directory: build(Survey(spark, directory)),
+            lambda spark, directory: build(Survey.open(spark, directory)),
             with_views(sql) if sql else None,
         )
         return build

@@ -7,13 +7,13 @@ the SQL check with table names.
 from __future__ import annotations
 
 import re
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.sources.tables import load_table
+from trapline.sources.tables import load_table, spread
 
 # Columns read from each test table.
 SOURCES = {
@@ -28,6 +28,9 @@ SOURCES = {
     "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double",
 }
 
+# Tables with one row per observation, by a column that spreads their rows; the others describe them.
+LARGE = {"lineitem": "l_orderkey", "events": "event_id"}
+
 _EVENT_POINT = """
  -17 + 24 * ((event_id % 2000 * 7919) % 10007) / cast(10007 as double) as lon,
  4 + 20 * ((event_id % 2000 * 104729) % 10009) / cast(10009 as double) as lat"""
@@ -126,9 +129,19 @@ class Survey:
 
     def __init__(self, spark: SparkSession, directory: str) -> None:
         self._spark, self._directory = spark, directory
+        self._tables: dict[str, DataFrame] = {}
+
+    @classmethod
+    @cache
+    def open(cls, spark: SparkSession, directory: str) -> Survey:
+        """The tables of a directory, opened once per session; every query still reads them."""
+        return cls(spark, directory)
 
     def table(self, name: str) -> DataFrame:
-        return load_table(self._spark, self._directory, name, SOURCES[name])
+        if name not in self._tables:
+            table = load_table(self._spark, self._directory, name, SOURCES[name])
+            self._tables[name] = spread(table, LARGE[name]) if name in LARGE else table
+        return self._tables[name]
 
     def _view(self, sql: str) -> DataFrame:
         used = sorted(set(re.findall(r"\{(\w+)\}", sql)))

@@ -10,9 +10,9 @@ from trapline.functions.missing import contains_text, number_text, text_or_na
 
 # Where a new word starts: at any run of separators, between lower and upper case, before the last
 # capital of a run of capitals that a lower-case letter follows, and on either side of digits.
+_SEPARATORS = r"[^\p{L}\p{N}]+"
 _WORD_GAP = (
-    r"[^\p{L}\p{N}]+"
-    r"|(?<=\p{Ll})(?=\p{Lu})"
+    _SEPARATORS + r"|(?<=\p{Ll})(?=\p{Lu})"
     r"|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
     r"|(?<=\p{L})(?=\p{N})"
     r"|(?<=\p{N})(?=\p{L})"
@@ -21,7 +21,11 @@ _WORD_GAP = (
 
 def sentence_case(column: Column) -> Column:
     """Words separated by single spaces, all lower case but for the first letter."""
-    words = F.lower(F.trim(F.regexp_replace(column, _WORD_GAP, " ")))
+    # Most names are lower case without digits, where only separators end a word.
+    spaced = F.when(
+        column.rlike(r"[\p{Lu}\p{N}]"), F.regexp_replace(column, _WORD_GAP, " ")
+    ).otherwise(F.regexp_replace(column, _SEPARATORS, " "))
+    words = F.lower(F.trim(spaced))
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 2**31 - 1))
 
 
