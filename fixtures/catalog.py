@@ -383,7 +383,7 @@ def _(s: Survey) -> DataFrame:
 
 @check("region_areas", f"with {_AREAS} select region_id, round(area_m2, 0) as area_m2 from areas")
 def _(s: Survey) -> DataFrame:
-    return s.level_2.select("region_id", F.round(ring_area_m2(F.col("ring")), 0).alias("area_m2"))
+    return s.level_2.select("region_id", F.round(ring_area_m2("ring"), 0).alias("area_m2"))
 
 
 @check(

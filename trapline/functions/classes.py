@@ -22,7 +22,7 @@ def class_of(column: Column, breaks: Sequence[float]) -> Column:
 def class_label(number: Column, breaks: Sequence[float]) -> Column:
     """Legend text of a class number."""
     names = [f"{low:.3f} to {high:.3f}" for low, high in zip(breaks, breaks[1:])]
-    return F.element_at(F.array(*[F.lit(n) for n in names]), number)
+    return F.coalesce(*[F.when(number == i, F.lit(n)) for i, n in enumerate(names, start=1)])
 
 
 def recode_levels(column: Column, domain: Sequence[str], palette: Sequence[str]) -> Column:

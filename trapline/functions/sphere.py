@@ -8,37 +8,28 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6_371_010.0  # mean radius used for spherical areas
 
 
-def ring_segments(ring: Column) -> Column:
-    """Consecutive point pairs of one closed ring as ``array<struct<x1,y1,x2,y2>>``."""
-    n = F.size(ring)
-    return F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(ring, F.lit(1), n - 1),
-            F.slice(ring, F.lit(2), n - 1),
-            lambda a, b: F.struct(
-                a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
-
-
-def _excess(edge: Column) -> Column:
-    """Signed solid angle between a great-circle edge and the equator."""
-    low, high = F.tan(F.radians(edge["y1"]) / 2), F.tan(F.radians(edge["y2"]) / 2)
-    turn = F.tan(F.radians(edge["x2"] - edge["x1"]) / 2)
-    return 2 * F.atan2(turn * (low + high), 1 + low * high)
-
-
-def ring_area_m2(rings: Column) -> Column:
-    """Area of a polygon given as rings of longitude/latitude points, edges on great circles.
+# SQL over one closed ring ``r``: its consecutive point pairs as array<struct<x1,y1,x2,y2>>.
+RING_SEGMENTS = (
+    "zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)), "
+    "(a, b) -> named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))"
+)
+
+# SQL over one edge ``e``: signed solid angle between the great-circle edge and the equator.
+_EXCESS = (
+    "2 * atan2(tan(radians(e.x2 - e.x1) / 2) * (tan(radians(e.y1) / 2) + tan(radians(e.y2) / 2)), "
+    "1 + tan(radians(e.y1) / 2) * tan(radians(e.y2) / 2))"
+)
+
+
+def ring_area_m2(ring: str = "ring") -> Column:
+    """Area of a polygon column of rings of longitude/latitude points, edges on great circles.
 
     Rings carry their sign by direction: outer rings one way round, holes the other. Several outer
     rings add up, holes subtract, and it does not matter which way is which.
     """
-    edges = F.flatten(F.transform(rings, ring_segments))
-    total = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + _excess(e))
-    return F.abs(total) * F.lit(EARTH_RADIUS_M * EARTH_RADIUS_M)
+    edges = f"flatten(transform({ring}, r -> {RING_SEGMENTS}))"
+    angle = F.expr(f"abs(aggregate({edges}, 0d, (acc, e) -> acc + {_EXCESS}))")
+    return angle * F.lit(EARTH_RADIUS_M * EARTH_RADIUS_M)
 
 
 def site_density(count: Column, area_m2: Column) -> Column:

@@ -9,11 +9,11 @@ equi-join; a point is then tested against the few edges kept in its cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.missing import ascending, text_or_na
-from trapline.functions.sphere import ring_segments
+from trapline.functions.sphere import RING_SEGMENTS
 from trapline.operators.joins import left_join_na
 from trapline.operators.order import with_row_id
 from trapline.session import settle
@@ -25,33 +25,30 @@ SALTS = 16  # ways a crowded cell is split when the cell table is too large to b
 STUDIES_PER_PAGE = 1000
 
 
-def _reaches(edge: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """Edge's bounding box meets the box."""
+def reaches(edge: str, x0: str, x1: str, y0: str, y1: str) -> str:
+    """SQL: the edge's bounding box meets the box."""
     return (
-        (F.greatest(edge["x1"], edge["x2"]) >= x0)
-        & (F.least(edge["x1"], edge["x2"]) <= x1)
-        & (F.greatest(edge["y1"], edge["y2"]) >= y0)
-        & (F.least(edge["y1"], edge["y2"]) <= y1)
+        f"(greatest({edge}.x1, {edge}.x2) >= {x0} and least({edge}.x1, {edge}.x2) <= {x1}"
+        f" and greatest({edge}.y1, {edge}.y2) >= {y0} and least({edge}.y1, {edge}.y2) <= {y1})"
     )
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Whether the polygon of ``edges`` contains the point, boundary included.
+def covers(edges: str, x: str, y: str) -> str:
+    """SQL: the polygon of ``edges`` contains the point, boundary included.
 
     Bit 0 flips at every edge crossed by the ray to the right, bit 1 is set by an edge through the
     point.
     """
-
-    def step(acc: Column, e: Column) -> Column:
-        rise, run = e["y2"] - e["y1"], e["x2"] - e["x1"]
-        crossing = (e["y1"] > y) != (e["y2"] > y)
-        right = F.when(crossing, x < run * (y - e["y1"]) / rise + e["x1"]).otherwise(F.lit(False))
-        touching = (run * (y - e["y1"]) == rise * (x - e["x1"])) & _reaches(e, x, x, y, y)
-        return acc.bitwiseXOR(right.cast("int")).bitwiseOR(
-            F.when(touching, F.lit(2)).otherwise(F.lit(0))
-        )
-
-    return F.aggregate(edges, F.lit(0), step) > 0
+    rise, run = "(e.y2 - e.y1)", "(e.x2 - e.x1)"
+    crossed = (
+        f"case when (e.y1 > {y}) <> (e.y2 > {y})"
+        f" then {x} < {run} * ({y} - e.y1) / {rise} + e.x1 else false end"
+    )
+    touched = f"{run} * ({y} - e.y1) = {rise} * ({x} - e.x1) and {reaches('e', x, x, y, y)}"
+    return (
+        f"(aggregate({edges}, 0, (acc, e) ->"
+        f" (acc ^ int({crossed})) | if({touched}, 2, 0)) > 0)"
+    )
 
 
 def region_cells(regions: DataFrame, key: str, ring: str = "ring") -> DataFrame:
@@ -60,49 +57,47 @@ def region_cells(regions: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     ``edges`` is empty for a cell wholly inside; cells wholly outside are left out. The table
     depends on the regions alone and can be written once and kept.
     """
-    edges = F.flatten(F.transform(ring, ring_segments))
-    shaped = regions.select(key, edges.alias("edges")).filter(F.size("edges") > 0)
-    box = {
-        "xmin": F.array_min(F.transform("edges", lambda e: F.least(e["x1"], e["x2"]))),
-        "xmax": F.array_max(F.transform("edges", lambda e: F.greatest(e["x1"], e["x2"]))),
-        "ymin": F.array_min(F.transform("edges", lambda e: F.least(e["y1"], e["y2"]))),
-        "ymax": F.array_max(F.transform("edges", lambda e: F.greatest(e["y1"], e["y2"]))),
+    spread = {
+        f"{end}_{axis}": f"array_{end}(transform(edges, e -> {pick}(e.{axis}1, e.{axis}2)))"
+        for axis in "xy"
+        for end, pick in (("min", "least"), ("max", "greatest"))
     }
-    boxed = shaped.withColumns(box)
-    widest = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    fitting = F.ceil(F.log2(widest / CELLS_PER_SIDE)).cast("int")
-    scaled = boxed.withColumn(
-        "scale",
-        F.when(widest > 0, F.greatest(fitting, F.lit(FINEST_SCALE))).otherwise(F.lit(FINEST_SCALE)),
-    ).withColumn("width", F.pow(F.lit(2.0), F.col("scale")))
-
-    def span(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / F.col("width")), F.floor(F.col(high) / F.col("width")))
-
-    gridded = (
-        scaled.withColumn("cx", F.explode(span("xmin", "xmax")))
-        .withColumn("cy", F.explode(span("ymin", "ymax")))
-        .drop(*box)
+    boxed = (
+        regions.select(key, F.expr(f"flatten(transform({ring}, r -> {RING_SEGMENTS}))").alias("edges"))
+        .filter("size(edges) > 0")
+        .selectExpr("*", *[f"{sql} as {name}" for name, sql in spread.items()])
+        .selectExpr("*", "greatest(max_x - min_x, max_y - min_y) as extent")
+        .selectExpr(
+            "*",
+            f"if(extent > 0, greatest(int(ceil(log2(extent / {CELLS_PER_SIDE}))), {FINEST_SCALE}),"
+            f" {FINEST_SCALE}) as scale",
+        )
+        .selectExpr("*", "pow(2d, scale) as width")
     )
-    # The margin keeps edges that rounding could place on either side of the cell border.
-    width, margin = F.col("width"), F.col("width") * 1e-6
-    x0, y0 = F.col("cx") * width, F.col("cy") * width
-    x1, y1 = x0 + width, y0 + width
-    bounds = (x0 - margin, x1 + margin, y0 - margin, y1 + margin)
-    crossed = F.exists("edges", lambda e: _reaches(e, *bounds))
-    whole = covers(F.col("edges"), x0 + width / 2, y0 + width / 2)
-    # To the right of the cell every edge at its height still counts for the ray.
-    relevant = F.filter(
-        "edges", lambda e: _reaches(e, bounds[0], F.lit(float("inf")), bounds[2], bounds[3])
+    # Rows of cells first: an edge off a row's height can be neither in its cells nor in a ray. The
+    # margin keeps edges that rounding could place on either side of a cell border.
+    rows = boxed.selectExpr(
+        key, "scale", "width", "width * 1e-6d as margin", "min_x", "max_x", "edges",
+        "explode(sequence(floor(min_y / width), floor(max_y / width))) as cy",
+    ).selectExpr(
+        key, "scale", "width", "margin", "min_x", "max_x", "cy",
+        "filter(edges, e -> greatest(e.y1, e.y2) >= cy * width - margin"
+        " and least(e.y1, e.y2) <= (cy + 1) * width + margin) as edges",
     )
-    return (
-        gridded.withColumns({"crossed": crossed, "whole": whole, "relevant": relevant})
-        .filter(F.col("crossed") | F.col("whole"))
-        .select(
-            key, "scale", "cx", "cy",
-            F.when(F.col("crossed"), F.col("relevant"))
-            .otherwise(F.slice("relevant", 1, 0)).alias("edges"),
-        )
+    cells = rows.selectExpr(
+        key, "scale", "width", "margin", "cy", "edges",
+        "explode(sequence(floor(min_x / width), floor(max_x / width))) as cx",
+    )
+    box = ("cx * width - margin", "(cx + 1) * width + margin",
+           "cy * width - margin", "(cy + 1) * width + margin")
+    # To the right of a cell every edge at its height still counts for the ray.
+    return cells.selectExpr(
+        key, "scale", "cx", "cy",
+        f"exists(edges, e -> {reaches('e', *box)}) as crossed",
+        f"{covers('edges', '((cx + 0.5d) * width)', '((cy + 0.5d) * width)')} as whole",
+        "filter(edges, e -> greatest(e.x1, e.x2) >= cx * width - margin) as near",
+    ).filter("crossed or whole").selectExpr(
+        key, "scale", "cx", "cy", "if(crossed, near, slice(near, 1, 0)) as edges"
     )
 
 
@@ -130,19 +125,14 @@ def join_points_in_regions(
     if not scales:
         return points.limit(0).withColumn(key, F.lit(None).cast(regions.schema[key].dataType))
 
-    x, y = F.col(lon), F.col(lat)
-    spots = [
-        F.struct(
-            F.lit(s).alias("__scale"),
-            F.floor(x / 2.0**s).alias("__cx"),
-            F.floor(y / 2.0**s).alias("__cy"),
-        )
-        for s in scales
-    ]
     # Coordinates off the globe match nothing; the range test also reaches the file scan.
-    located = points.filter(x.between(-360.0, 360.0) & y.between(-90.0, 90.0))
-    spotted = located.select("*", F.inline(F.array(*spots)))
-    inside = (F.size("edges") == 0) | covers(F.col("edges"), x, y)
+    located = points.filter(F.col(lon).between(-360.0, 360.0) & F.col(lat).between(-90.0, 90.0))
+    spots = ", ".join(
+        f"struct(int({s}) as __scale, floor({lon} / {2.0**s!r}d) as __cx, floor({lat} / {2.0**s!r}d) as __cy)"
+        for s in scales
+    )
+    spotted = located.selectExpr("*", f"inline(array({spots}))")
+    inside = F.expr(f"size(edges) = 0 or {covers('edges', lon, lat)}")
     same_cell = (
         (F.col("__scale") == F.col("scale"))
         & (F.col("__cx") == F.col("cx"))

@@ -83,7 +83,7 @@ def site_density_by_region(
     density = site_density(F.col("n"), F.col("area_m2"))
     return (
         left_join_na(regions, counts, group)
-        .withColumn("area_m2", ring_area_m2(F.col("ring")))
+        .withColumn("area_m2", ring_area_m2("ring"))
         .withColumn("sites_per_km2", density)
         .withColumn("density_class", class_of(F.col("sites_per_km2"), breaks))
     )

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.missing import ascending, is_one_of
+from trapline.operators.order import TOP_K_POSITIONS, with_row_id
 
 
 def _column_test(name: str, wanted: object) -> Column:
-    """Text: contained, case ignored. Pair of bounds: closed range, either may be None. List: membership."""
+    """Text is looked for inside the value, a pair is a closed range, a list is a choice of values.
+
+    Case does not matter in text, and either bound of a range may be None.
+    """
     column = F.col(name)
     if isinstance(wanted, str):
         return F.lower(column.cast("string")).contains(wanted.lower())
@@ -49,5 +53,9 @@ def table_page(
 ) -> DataFrame:
     """One page of rows. ``key`` tells rows apart and breaks ties, so that pages never overlap."""
     keys = [key] if isinstance(key, str) else list(key)
-    shown = filter_table(df, column_filters, search).orderBy(*order, *ascending(*keys))
-    return shown.offset(offset).limit(limit)
+    shown, sort = filter_table(df, column_filters, search), [*order, *ascending(*keys)]
+    if offset + limit <= TOP_K_POSITIONS:
+        return shown.orderBy(*sort).offset(offset).limit(limit)
+    numbered = with_row_id(shown, sort, "__row")
+    page = numbered.filter(F.col("__row").between(offset + 1, offset + limit))
+    return page.orderBy("__row").drop("__row")
