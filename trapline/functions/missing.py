@@ -22,7 +22,7 @@ def contains_text(column: Column, text: str) -> Column:
 
 def lacks_text(column: Column, text: str) -> Column:
     """Negation of :func:`contains_text`; keeps rows whose value is missing."""
-    return ~contains_text(column, text)
+    return column.isNull() | ~column.contains(text)
 
 
 def sum_or_missing(column: Column) -> Column:
@@ -35,12 +35,22 @@ def n_distinct_or_missing(column: Column) -> Column:
     return F.count_distinct(column) + F.max(column.isNull().cast("int"))
 
 
-def is_one_of(column: Column, values: Iterable) -> Column:
-    """Membership test that is never missing; a missing value is a member only if listed."""
+def matches_any(column: Column, values: Iterable) -> Column:
+    """Membership test for filters, in a form that reaches the file scan.
+
+    A missing value matches only if it is listed; otherwise its test is missing, which a filter
+    takes for false. Do not negate it; negate :func:`is_one_of`.
+    """
     values = list(values)
     listed = [v for v in values if v is not None]
-    test = F.coalesce(column.isin(listed), F.lit(False)) if listed else F.lit(False)
-    return test | column.isNull() if len(listed) < len(values) else test
+    if len(listed) == len(values):
+        return column.isin(listed) if listed else F.lit(False)
+    return column.isin(listed) | column.isNull() if listed else column.isNull()
+
+
+def is_one_of(column: Column, values: Iterable) -> Column:
+    """Membership test that is never missing."""
+    return F.coalesce(matches_any(column, values), F.lit(False))
 
 
 def is_reported(column: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline import constants as K
-from trapline.functions.missing import is_one_of, is_reported, lacks_text
+from trapline.functions.missing import is_reported, lacks_text, matches_any
 from trapline.operators.joins import semi_join
 from trapline.operators.order import with_row_id
 
@@ -30,7 +30,7 @@ def filter_in(df: DataFrame, column: str, values: Iterable | DataFrame) -> DataF
     """Rows whose value is in ``values``; a one-column DataFrame of values becomes a semi-join."""
     if isinstance(values, DataFrame):
         return semi_join(df, values.toDF(column), [column])
-    return df.filter(is_one_of(F.col(column), values))
+    return df.filter(matches_any(F.col(column), values))
 
 
 def takes_all(values: Sequence | None) -> bool:
@@ -43,14 +43,14 @@ def filter_choice(df: DataFrame, column: str | Column, values: Sequence | None)
     if takes_all(values):
         return df
     target = F.col(column) if isinstance(column, str) else column
-    return df.filter(is_one_of(target, values))
+    return df.filter(matches_any(target, values))
 
 
 def filter_groups(
     df: DataFrame, column: str, values: Sequence | None, default: Sequence = K.DEFAULT_GROUPS
 ) -> DataFrame:
     """Membership filter in which an empty choice or "All" means the default groups."""
-    return df.filter(is_one_of(F.col(column), default if takes_all(values) else values))
+    return df.filter(matches_any(F.col(column), default if takes_all(values) else values))
 
 
 def filter_host_pathogen(
@@ -78,7 +78,7 @@ def filter_reported(df: DataFrame, column: str) -> DataFrame:
 
 def filter_selected(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
     """Membership filter without a sentinel: an empty choice gives no rows."""
-    return df.filter(is_one_of(F.col(column), values or []))
+    return df.filter(matches_any(F.col(column), values or []))
 
 
 def value_list(df: DataFrame, column: str) -> list:

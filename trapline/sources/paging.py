@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.missing import ascending, is_one_of
+from trapline.functions.missing import ascending, matches_any
 from trapline.operators.order import TOP_K_POSITIONS, with_row_id
 
 
@@ -27,7 +27,7 @@ def _column_test(name: str, wanted: object) -> Column:
         for t in tests:
             test = test & t
         return test
-    return is_one_of(column, wanted)
+    return matches_any(column, wanted)
 
 
 def filter_table(
