@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trapline.functions.missing import ascending
@@ -92,9 +93,18 @@ def test_first_row_is_the_same_for_any_partitioning(spark):
         sorted(first_row_by(df.repartition(n), ["k"], ["ord"]).collect()) for n in (1, 3, 16)
     ]
     assert results[0] == results[1] == results[2]
+    assert sorted(first_row_by(df, ["k"], ["ord"], broadcast_keys=0).collect()) == results[0]
 
     def rank(row):
         return (row[0], row[2] is not None, row[2] or "")
 
     expected = {k: min((r for r in data if r[1] == k), key=rank) for k in range(9)}
     assert {r.k: (r.ord, r.k, r.t) for r in first_row_by(df, ["k"], ["ord"]).collect()} == expected
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_first_row_with_missing_keys_and_orders(rows, limit):
+    data = [(None, "a", 5), (None, "a", 4), (1, "a", 1), (2, None, 9), (1, None, 3), (None, None, 8)]
+    df = rows(data, "ord int, k string, v int")
+    out = {r.k: (r.ord, r.v) for r in first_row_by(df, ["k"], ["ord"], broadcast_keys=limit).collect()}
+    assert out == {"a": (None, 4), None: (None, 8)}

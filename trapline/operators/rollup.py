@@ -15,6 +15,9 @@ from trapline import constants as K
 from trapline.functions.missing import ascending, n_distinct_or_missing, sum_or_missing
 from trapline.operators.choices import filter_not_contains
 from trapline.operators.order import with_running_total
+from trapline.session import settle
+
+BROADCAST_KEYS = 500_000  # most keys sent to every executor, some tens of bytes each
 
 
 def count_by(df: DataFrame, *keys: str, number: str = "number") -> DataFrame:
@@ -39,11 +42,28 @@ def distinct_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def first_row_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first whole row per key in ``order``; the rest of the row breaks ties.
+def first_row_by(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
+    """The first whole row per key in ``order``, missing values first; the rest of the row breaks ties.
 
-    The minimum of a struct is combined on the map side, so one row per key and task is shuffled.
+    The best order value per key is found first, by hashing and from few columns. If the keys are few
+    enough to send to every executor, only rows that hold a best value go on to the comparison of
+    whole rows, which Spark does by sorting; otherwise every row goes on. Either way the comparison
+    is combined on the map side, so one row per key and task is shuffled.
     """
+    lead = F.col(order[0])
+    best = settle(
+        df.groupBy(*key).agg(
+            F.min(lead).alias("__best"), F.max(lead.isNull()).alias("__missing")
+        )
+    )
+    if best.count() <= broadcast_keys:
+        marked = best.withColumnsRenamed({c: f"__k_{c}" for c in key})
+        leads = F.when(F.col("__missing"), lead.isNull()).otherwise(lead == F.col("__best"))
+        for c in key:
+            leads = F.col(c).eqNullSafe(F.col(f"__k_{c}")) & leads
+        df = df.join(F.broadcast(marked), leads, "left_semi")
     rest = [c for c in df.columns if c not in order and c not in key]
     row = F.min(F.struct(*order, *rest)).alias("__row")
     first = df.groupBy(*key).agg(row)

@@ -14,7 +14,7 @@ from trapline.functions.sphere import ring_area_m2, site_density
 from trapline.functions.text import popup_label
 from trapline.operators.choices import filter_in, filter_reported
 from trapline.operators.joins import left_join_na, semi_join
-from trapline.operators.rollup import first_row_by
+from trapline.operators.rollup import distinct_by, first_row_by
 from trapline.operators.spatial import (
     BROADCAST_BYTES,
     STUDIES_PER_PAGE,
@@ -30,9 +30,10 @@ def distinct_sites(points: DataFrame, order: Sequence[str] = ("ord",)) -> DataFr
     return first_row_by(points, ["lon", "lat"], order)
 
 
-def base_layer(points: DataFrame, order: Sequence[str] = ("ord",)) -> DataFrame:
-    """One plain marker per coordinate."""
-    return point_layer(distinct_sites(points, order), K.LAYER_ALL, F.lit(K.BASE_COLOUR), K.BASE_RADIUS)
+def base_layer(points: DataFrame) -> DataFrame:
+    """One plain marker per coordinate. Markers show nothing of their row, so coordinates suffice."""
+    spots = distinct_by(points, ["lon", "lat"])
+    return point_layer(spots, K.LAYER_ALL, F.lit(K.BASE_COLOUR), K.BASE_RADIUS)
 
 
 def selected_site_layer(
