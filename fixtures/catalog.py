@@ -272,14 +272,24 @@ def _(s: Survey) -> DataFrame:
 
 _CROSSES = """(e.y1 > p.lat) <> (e.y2 > p.lat)
   and p.lon < case when e.y1 = e.y2 then 0 else (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 end"""
-_HITS = f"""
-hits as (select p.ord, p.unique_id, p.lon, p.lat, e.region_id from fx_spatial p join fx_level_2_edges e
- on {_CROSSES} group by all having count(*) % 2 = 1)"""
+
 _T1, _T2 = "tan(radians(y1) / 2)", "tan(radians(y2) / 2)"
-_AREAS = f"""
+
+
+def _hits(edges: str) -> str:
+    return f"""
+hits as (select p.ord, p.unique_id, p.lon, p.lat, e.region_id from fx_spatial p join {edges} e
+ on {_CROSSES} group by all having count(*) % 2 = 1)"""
+
+
+def _areas(edges: str) -> str:
+    return f"""
 areas as (select region_id, name_2, abs(sum(2 * atan2(tan(radians(x2 - x1) / 2) * ({_T1} + {_T2}),
  1 + {_T1} * {_T2}))) * {EARTH_RADIUS_M} * {EARTH_RADIUS_M} as area_m2
- from fx_level_2_edges group by 1, 2)"""
+ from {edges} group by 1, 2)"""
+
+
+_HITS, _AREAS = _hits("fx_level_2_edges"), _areas("fx_level_2_edges")
 
 
 def _per_region(group: str) -> str:
@@ -302,15 +312,15 @@ def _classes(c: str, breaks) -> str:
     return f"case {' '.join(parts)} end"
 
 
-def _density(group: str) -> str:
+def _density(group: str, edges: str = "fx_level_2_edges") -> str:
     return f"""
-with {_HITS}, {_AREAS}, {_per_region(group)},
+with {_hits(edges)}, {_areas(edges)}, {_per_region(group)},
  dens as (select a.region_id, a.name_2, c.n, c.n_studies, c.page, c.studies, a.area_m2,
   c.n / (a.area_m2 / 1000000.0) as d from areas a left join counts c on a.{group} = c.{group})"""
 
 
-def _density_rows(group: str) -> str:
-    return _density(group) + f"""
+def _density_rows(group: str, edges: str = "fx_level_2_edges") -> str:
+    return _density(group, edges) + f"""
 select region_id, name_2, n, n_studies, page, studies, round(area_m2, 0) as area_m2,
  round(d, 9) as sites_per_km2, {_classes('d', K.DENSITY_BREAKS)} as density_class from dens"""
 
@@ -348,16 +358,24 @@ def _(s: Survey) -> DataFrame:
     return rounded(sites.density_layer(density).drop("ring"), value=9)
 
 
+@check("site_density_by_district", _density_rows("region_id", "fx_district_edges"))
+def _(s: Survey) -> DataFrame:
+    density = sites.site_density_by_region(s.districts, s.spatial).drop("ring", "gid_0")
+    return rounded(density, area_m2=0, sites_per_km2=9)
+
+
 @check(
     "border_layer",
     f"""
 select gid_0 as region, cast(null as double) as value, cast(null as varchar) as class,
- 'Country: ' || name_0 as label, 'Country borders' as layer, 6 as outline_points
-from fx_level_0 where gid_0 in ({quoted(COUNTRY_CODES)})""",
+ 'Country: ' || name_2 as label, 'Country borders' as layer, count(*) + 1 as outline_points
+from fx_district_edges where gid_0 in ({quoted(COUNTRY_CODES)}) group by gid_0, name_2, region_id""",
 )
 def _(s: Survey) -> DataFrame:
-    borders = sites.border_layer(s.level_0, COUNTRY_CODES)
-    return borders.withColumn("outline_points", F.size(F.flatten("ring"))).drop("ring")
+    parts = s.districts.withColumnsRenamed({"name_2": "name_0"})
+    borders = sites.border_layer(parts, COUNTRY_CODES)
+    points = F.size(F.flatten("ring")).cast("bigint")
+    return borders.withColumn("outline_points", points).drop("ring")
 
 
 @check("points_in_regions", f"with {_HITS} select ord, lon, lat, region_id from hits")
@@ -381,26 +399,38 @@ def _(s: Survey) -> DataFrame:
     return studies_by_region(hits, "region_id", "unique_id", "ord")
 
 
-@check("region_areas", f"with {_AREAS} select region_id, round(area_m2, 0) as area_m2 from areas")
+@check(
+    "points_in_districts",
+    f"with {_hits('fx_district_edges')} select ord, lon, lat, region_id from hits",
+)
+def _(s: Survey) -> DataFrame:
+    return join_points_in_regions(s.spatial.select("ord", "lon", "lat"), s.districts, "region_id")
+
+
+@check(
+    "region_areas",
+    f"with {_areas('fx_district_edges')} select region_id, round(area_m2, 0) as area_m2 from areas",
+)
 def _(s: Survey) -> DataFrame:
-    return s.level_2.select("region_id", F.round(ring_area_m2("ring"), 0).alias("area_m2"))
+    return s.districts.select("region_id", F.round(ring_area_m2("ring"), 0).alias("area_m2"))
 
 
 @check(
     "regions_stacked",
     """
-select cast(n_nationkey as int) as region_id, 'R' || cast(n_nationkey % 20 as varchar) as name_2,
- 6 as outline_points from nation""",
+select region_id, name_2, gid_0, count(*) + 1 as outline_points from fx_district_edges
+group by 1, 2, 3""",
 )
 def _(s: Survey) -> DataFrame:
     nations, continents = s.table("nation"), s.table("region")
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    frames = []
-    for name in names:
-        members = nations.join(continents.filter(F.col("r_name") == name), F.col("n_regionkey") == F.col("r_regionkey"))
-        frames.append(semi_join(s.level_2, members.select(F.col("n_nationkey").alias("region_id")), ["region_id"]))
-    stacked = union_regions(frames)
-    return stacked.select("region_id", "name_2", F.size(F.flatten("ring")).alias("outline_points"))
+    member = F.col("n_regionkey") == F.col("r_regionkey")
+    code = F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("gid_0")
+    frames = [
+        semi_join(s.districts, nations.join(continents.filter(F.col("r_name") == name), member).select(code), ["gid_0"])
+        for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    ]
+    points = F.size(F.flatten("ring")).cast("bigint").alias("outline_points")
+    return union_regions(frames).select("region_id", "name_2", "gid_0", points)
 
 
 @check("sites_from_wkt", "select ord, lon, lat from fx_spatial")

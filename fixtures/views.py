@@ -21,6 +21,7 @@ SOURCES = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_nationkey int",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
@@ -64,7 +65,8 @@ select event_id as ord, user_id as unique_id, split_part(p_name, ' ', 1) as genu
  case when event_type in ('click', 'purchase') then 'orange' else 'green' end as pa_colour,
  nullif(event_type, 'signup') as town_village, cast(floor(value) as bigint) % 7 as number,
  nullif(cast(floor(value) as bigint), 1) as trap_nights
-from {{events}} join {{part}} on event_id % 2000 = p_partkey""",
+from (select *, event_id % (select count(*) from {{part}}) as part_no from {{events}})
+ join {{part}} on part_no = p_partkey""",
     "fx_rodent_summary": """
 select split_part(p_name, ' ', 1) as genus, replace(p_name, ' ', '_') as classification,
  case l_linenumber when 1 then 'NA' when 2 then null when 3 then 'dry_savannah'
@@ -91,39 +93,56 @@ select concat('N', cast(n_nationkey as string)) as gid_0, n_name as name_0
 from {nation} join {region} on n_regionkey = r_regionkey where r_name <> 'MIDDLE EAST'""",
 }
 
-# One slanted pentagon per nation on a 5-column grid, corners in hundredths of a degree.
+# One slanted pentagon per region on a grid over the survey area: corners in 480ths and 400ths of a
+# grid cell.
 CORNERS = ((13, 11), (431, 37), (457, 361), (221, 283), (29, 379))
-_ORIGIN_X = "n_nationkey % 5 * 480"
-_ORIGIN_Y = "cast(floor(n_nationkey / cast(5 as double)) as int) * 400"
 
+# Grid cell of a nation (five to a row, in hundredths of a degree) and of a supplier (as many to a row
+# as there are rows).
+_NATION_X, _NATION_Y = "n_nationkey % 5 * 480", "cast(floor(n_nationkey / cast(5 as double)) as int) * 400"
+_PLACED_SUPPLIERS = """(select s_suppkey, s_name, s_nationkey, side, s_suppkey % side as across,
+ cast(floor(s_suppkey / cast(side as double)) as bigint) as down
+ from (select *, (select cast(ceil(sqrt(count(*))) as bigint) from {supplier}) as side from {supplier}) a) b"""
 
-def _corner(number: int) -> tuple[str, str]:
+
+def _nation_corner(number: int) -> tuple[str, str]:
+    x, y = CORNERS[number % len(CORNERS)]
+    return (
+        f"-17 + ({_NATION_X} + {x}) / cast(100 as double)",
+        f"4 + ({_NATION_Y} + {y}) / cast(100 as double)",
+    )
+
+
+def _supplier_corner(number: int) -> tuple[str, str]:
     x, y = CORNERS[number % len(CORNERS)]
     return (
-        f"-17 + ({_ORIGIN_X} + {x}) / cast(100 as double)",
-        f"4 + ({_ORIGIN_Y} + {y}) / cast(100 as double)",
+        f"-17 + (across * 480 + {x}) / cast(20 * side as double)",
+        f"4 + (down * 400 + {y}) / cast(20 * side as double)",
     )
 
 
-def _ring_sql() -> str:
+def _ring_sql(corner) -> str:
     """``ring`` column of the region outlines, in Spark SQL."""
-    points = [_corner(i) for i in range(len(CORNERS) + 1)]
+    points = [corner(i) for i in range(len(CORNERS) + 1)]
     listed = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in points)
     return f"array(array({listed}))"
 
 
-def _edges_sql() -> str:
+def _edges_sql(columns: str, source: str, corner) -> str:
     """Outlines as one row per edge, in standard SQL."""
     parts = []
     for i in range(len(CORNERS)):
-        (x1, y1), (x2, y2) = _corner(i), _corner(i + 1)
-        parts.append(
-            "select n_nationkey as region_id, concat('R', cast(n_nationkey % 20 as string)) as name_2,"
-            f" {i} as seq, {x1} as x1, {y1} as y1, {x2} as x2, {y2} as y2 from nation"
-        )
+        (x1, y1), (x2, y2) = corner(i), corner(i + 1)
+        parts.append(f"select {columns}, {i} as seq, {x1} as x1, {y1} as y1, {x2} as x2, {y2} as y2 from {source}")
     return " union all ".join(parts)
 
 
+_LEVEL_2 = "n_nationkey as region_id, concat('R', cast(n_nationkey % 20 as string)) as name_2"
+_DISTRICT = (
+    "s_suppkey as region_id, s_name as name_2, concat('N', cast(s_nationkey as string)) as gid_0"
+)
+
+
 class Survey:
     """The fixture views of one data directory as DataFrames."""
 
@@ -170,16 +189,21 @@ class Survey:
     @cached_property
     def level_0(self) -> DataFrame:
         outlines = self._view(
-            f"select concat('N', cast(n_nationkey as string)) as __id, {_ring_sql()} as ring from {{nation}}"
+            "select concat('N', cast(n_nationkey as string)) as __id, "
+            f"{_ring_sql(_nation_corner)} as ring from {{nation}}"
         )
         named = self._view(VIEWS["fx_level_0"])
         return named.join(outlines, F.col("gid_0") == F.col("__id")).drop("__id")
 
     @cached_property
     def level_2(self) -> DataFrame:
+        return self._view(f"select {_LEVEL_2}, {_ring_sql(_nation_corner)} as ring from {{nation}}")
+
+    @cached_property
+    def districts(self) -> DataFrame:
+        """Regions whose number grows with the data: one per supplier, with its country code."""
         return self._view(
-            "select n_nationkey as region_id, concat('R', cast(n_nationkey % 20 as string)) as name_2,"
-            f" {_ring_sql()} as ring from {{nation}}"
+            f"select {_DISTRICT}, {_ring_sql(_supplier_corner)} as ring from {_PLACED_SUPPLIERS}"
         )
 
 
@@ -209,7 +233,10 @@ def total(c: str) -> str:
 def with_views(sql: str) -> str:
     """Put the fixture views in front of a query."""
     plain = {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in VIEWS.items()}
-    plain["fx_level_2_edges"] = _edges_sql()
+    plain["fx_level_2_edges"] = _edges_sql(_LEVEL_2, "nation", _nation_corner)
+    plain["fx_district_edges"] = _edges_sql(
+        _DISTRICT, _PLACED_SUPPLIERS.replace("{supplier}", "supplier"), _supplier_corner
+    )
     plain["px_pathogen"] = (
         f"select * replace ({sentence('classification')} as classification) from fx_pathogen"
     )
