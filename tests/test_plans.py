@@ -11,8 +11,8 @@ FORBIDDEN = (
     "CartesianProduct", "BroadcastNestedLoopJoin",
 )
 # Where all rows of a step may meet in one task: one total per partition of a sorted table, the
-# head of a top-k, or one line of text about the selected rows.
-BOUNDED = ("keys=[__part", "TakeOrderedAndProject", "position#")
+# head of a top-k, one line of text about the selected rows, or one row count per task.
+BOUNDED = ("keys=[__part", "TakeOrderedAndProject", "position#", "keys=[], functions=[partial_count(1)]")
 
 
 def plan(df):

@@ -116,9 +116,15 @@ def test_cells_per_region_are_bounded_whatever_its_size(spark):
     shapes = {"world": [box(-180, -90, 180, 90)], "yard": [box(1, 1, 1.00001, 1.00001)], "dot": [box(3, 3, 3, 3)]}
     cells = region_cells(as_regions(spark, shapes), "region_id")
     per_region = dict(cells.groupBy("region_id").count().collect())
-    assert max(per_region.values()) <= 17 * 17
-    middle = cells.filter("region_id = 'world' and size(edges) = 0").count()
-    assert middle > 0
+    assert max(per_region.values()) <= 5 * 5
+
+
+def test_cells_inside_a_region_need_no_edges(spark):
+    ring = [(10 * math.cos(a / 50 * math.pi), 10 * math.sin(a / 50 * math.pi)) for a in range(100)]
+    cells = region_cells(as_regions(spark, {"disc": [ring + ring[:1]]}), "region_id")
+    sizes = [len(r.edges) for r in cells.collect()]
+    assert len(sizes) <= 33 * 33
+    assert sizes.count(0) > len(sizes) / 3 and max(sizes) < 60
 
 
 def test_a_spot_holding_a_third_of_all_rows(spark):

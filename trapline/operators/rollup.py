@@ -17,7 +17,7 @@ from trapline.operators.choices import filter_not_contains
 from trapline.operators.order import with_running_total
 from trapline.session import settle
 
-BROADCAST_KEYS = 500_000  # most keys sent to every executor, some tens of bytes each
+BROADCAST_BYTES = 64 * 1024 * 1024  # largest key table sent to every executor
 
 
 def count_by(df: DataFrame, *keys: str, number: str = "number") -> DataFrame:
@@ -43,12 +43,12 @@ def distinct_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def first_row_by(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], broadcast_keys: int = BROADCAST_KEYS
+    df: DataFrame, key: Sequence[str], order: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The first whole row per key in ``order``, missing values first; the rest of the row breaks ties.
 
-    The best order value per key is found first, by hashing and from few columns. If the keys are few
-    enough to send to every executor, only rows that hold a best value go on to the comparison of
+    The best order value per key is found first, by hashing and from few columns. If that table is
+    measured to be small enough for every executor, only rows that hold a best value go on to the comparison of
     whole rows, which Spark does by sorting; otherwise every row goes on. Either way the comparison
     is combined on the map side, so one row per key and task is shuffled.
     """
@@ -58,7 +58,9 @@ def first_row_by(
             F.min(lead).alias("__best"), F.max(lead.isNull()).alias("__missing")
         )
     )
-    if best.count() <= broadcast_keys:
+    text = F.concat_ws("", *[F.col(c).cast("string") for c in [*key, "__best"]])
+    size = best.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
         marked = best.withColumnsRenamed({c: f"__k_{c}" for c in key})
         leads = F.when(F.col("__missing"), lead.isNull()).otherwise(lead == F.col("__best"))
         for c in key:

@@ -18,7 +18,9 @@ from trapline.operators.joins import left_join_na
 from trapline.operators.order import with_row_id
 from trapline.session import settle
 
-CELLS_PER_SIDE = 8
+# Cells along the longer side of a region: the square root of its edges within these bounds, so that
+# a region has about as many cells as edges.
+FEWEST_CELLS, MOST_CELLS = 2, 32
 FINEST_SCALE = -20  # cell width 2**-20 degrees, about 0.1 m
 BROADCAST_BYTES = 128 * 1024 * 1024  # largest cell table sent to every executor
 SALTS = 16  # ways a crowded cell is split when the cell table is too large to broadcast
@@ -62,14 +64,21 @@ def region_cells(regions: DataFrame, key: str, ring: str = "ring") -> DataFrame:
         for axis in "xy"
         for end, pick in (("min", "least"), ("max", "greatest"))
     }
+    # A table of outlines is small next to the work of gridding it, and often a single split.
+    tasks = regions.sparkSession.sparkContext.defaultParallelism
+    dealt = regions.select(key, ring).repartition(tasks, key)
     boxed = (
-        regions.select(key, F.expr(f"flatten(transform({ring}, r -> {RING_SEGMENTS}))").alias("edges"))
+        dealt.select(key, F.expr(f"flatten(transform({ring}, r -> {RING_SEGMENTS}))").alias("edges"))
         .filter("size(edges) > 0")
         .selectExpr("*", *[f"{sql} as {name}" for name, sql in spread.items()])
         .selectExpr("*", "greatest(max_x - min_x, max_y - min_y) as extent")
         .selectExpr(
             "*",
-            f"if(extent > 0, greatest(int(ceil(log2(extent / {CELLS_PER_SIDE}))), {FINEST_SCALE}),"
+            f"greatest({FEWEST_CELLS}, least({MOST_CELLS}, ceil(sqrt(size(edges))))) as sides",
+        )
+        .selectExpr(
+            "*",
+            f"if(extent > 0, greatest(int(ceil(log2(extent / sides))), {FINEST_SCALE}),"
             f" {FINEST_SCALE}) as scale",
         )
         .selectExpr("*", "pow(2d, scale) as width")
@@ -143,8 +152,9 @@ def join_points_in_regions(
     else:
         salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        # The hint keeps Catalyst from broadcasting: its estimate does not see what explode adds.
         joined = spotted.withColumn("__salt", salt).join(
-            cells.withColumn("__copy", copies),
+            cells.withColumn("__copy", copies).hint("merge"),
             same_cell & (F.col("__salt") == F.col("__copy")) & inside,
         )
     return joined.select(*points.columns, key)
