@@ -20,7 +20,7 @@ from trapline.session import settle
 
 # Cells along the longer side of a region: the square root of its edges within these bounds, so that
 # a region has about as many cells as edges.
-FEWEST_CELLS, MOST_CELLS = 2, 32
+FEWEST_CELLS, MOST_CELLS = 4, 32
 FINEST_SCALE = -20  # cell width 2**-20 degrees, about 0.1 m
 BROADCAST_BYTES = 128 * 1024 * 1024  # largest cell table sent to every executor
 SALTS = 16  # ways a crowded cell is split when the cell table is too large to broadcast
