@@ -1,8 +1,8 @@
-"""Session set-up and lineage cuts."""
+"""Session set-up, lineage cuts and rows stored in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,28 +24,36 @@ def local_session(cpus: int | str = "*", app: str = "trapline") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a temporary one only for a local master."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="trapline-checkpoint-"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
         raise RuntimeError(
-            "set spark.checkpoint.dir to a shared folder: numbering and ranking write their "
-            "sorted rows there so that a lost executor cannot change them"
+            "set spark.checkpoint.dir to a folder that the driver and all executors share: "
+            "rows that are read more than once are stored there, so that a lost executor "
+            "cannot change them"
         )
+    return shared.rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/trapline-{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, to reliable storage, and continue from the stored rows.
+    """Compute ``df`` once, to a table in the shared folder, and continue from the stored rows.
 
     Used where one result is read more than once, or where the values depend on how the rows were
-    split into partitions and therefore must not be computed a second time.
+    split into partitions and therefore must not be computed a second time. ``release`` removes
+    what the session has stored.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the rows this session has stored. DataFrames that read them must be finished."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
