@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.simhash import near_duplicates
+from trapline.llm.tokens import count_tokens
+from trapline.llm.warc import read_archives, write_archives
+from trapline.session import shared_folder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -18,5 +23,24 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
+    """Every page, written to archives in the shared folder and read back."""
+    folder = f"{shared_folder(spark)}/trapline-warc-{uuid.uuid4().hex}"
+    manifest = write_archives(_table(spark, directory, "pages"), folder)
+    return read_archives(manifest).drop("url", "payload")
+
+
+def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    """Tokens of every document. The cache starts empty, so that every content is encoded."""
+    import public_tokenizers
+
+    cache = f"{shared_folder(spark)}/trapline-token-cache-{uuid.uuid4().hex}"
+    return count_tokens(_table(spark, directory, "documents"), cache, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op7_warc": op7_warc,
+    "op9_tokens": op9_tokens,
+}
 SQL: dict[str, str] = {}
