@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trapline.llm.langid import fit, held_out, identify
 from trapline.llm.simhash import near_duplicates
 from trapline.llm.tokens import count_tokens
 from trapline.llm.warc import read_archives, write_archives
@@ -30,6 +31,13 @@ def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
     return read_archives(manifest).drop("url", "payload")
 
 
+def op8_language(spark: SparkSession, directory: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, directory, "documents")
+    texts = docs.select("doc_id", "text")
+    return identify(texts, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens of every document. The cache starts empty, so that every content is encoded."""
     import public_tokenizers
@@ -41,6 +49,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op7_warc": op7_warc,
+    "op8_language": op8_language,
     "op9_tokens": op9_tokens,
 }
 SQL: dict[str, str] = {}
