@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
 from trapline.llm.simhash import near_duplicates
 from trapline.llm.tokens import count_tokens
@@ -24,6 +25,11 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op4_html(spark: SparkSession, directory: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_table(spark, directory, "pages"))
+
+
 def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
     """Every page, written to archives in the shared folder and read back."""
     folder = f"{shared_folder(spark)}/trapline-warc-{uuid.uuid4().hex}"
@@ -48,6 +54,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_html": op4_html,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
