@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
+from trapline.llm.pii import BASE_KINDS, detect, span_text
 from trapline.llm.simhash import near_duplicates
 from trapline.llm.tokens import count_tokens
 from trapline.llm.warc import read_archives, write_archives
@@ -30,6 +31,19 @@ def op4_html(spark: SparkSession, directory: str) -> DataFrame:
     return extract(_table(spark, directory, "pages"))
 
 
+def op6_pii(spark: SparkSession, directory: str) -> DataFrame:
+    """Personal data in every document."""
+    spans, _ = detect(_table(spark, directory, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = {f"n_{k}": number(k) for k in BASE_KINDS}
+    return spans.withColumns(counts).select(
+        "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
+    )
+
+
 def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
     """Every page, written to archives in the shared folder and read back."""
     folder = f"{shared_folder(spark)}/trapline-warc-{uuid.uuid4().hex}"
@@ -55,6 +69,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_html": op4_html,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
