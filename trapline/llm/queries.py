@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trapline.llm import decontaminate
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
 from trapline.llm.pii import BASE_KINDS, detect, span_text
@@ -31,6 +32,11 @@ def op4_html(spark: SparkSession, directory: str) -> DataFrame:
     return extract(_table(spark, directory, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.contaminated(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, directory: str) -> DataFrame:
     """Personal data in every document."""
     spans, _ = detect(_table(spark, directory, "documents"))
@@ -69,9 +75,10 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_html": op4_html,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
