@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate
+from trapline.llm import decontaminate, mixing
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
 from trapline.llm.pii import BASE_KINDS, detect, span_text
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    """Reading order of all documents in which no source is repeated more than four times as often as the largest."""
+    return mixing.mix(_table(spark, directory, "documents"))
+
+
 def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     """Component of near-copies of every document."""
     found = near_duplicates(_table(spark, directory, "documents"))
@@ -73,6 +78,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op4_html": op4_html,
     "op5_decontaminate": op5_decontaminate,
@@ -81,4 +87,4 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
 }
-SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL}
