@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm import decontaminate, mixing
+from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
 from trapline.llm.pii import BASE_KINDS, detect, span_text
@@ -32,6 +33,11 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(_table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_html(spark: SparkSession, directory: str) -> DataFrame:
     """Main text of every page."""
     return extract(_table(spark, directory, "pages"))
@@ -80,6 +86,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_neighbours": op3_neighbours,
     "op4_html": op4_html,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
