@@ -11,6 +11,7 @@ from trapline.llm import decontaminate, mixing
 from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
+from trapline.llm.passages import repeated_passages
 from trapline.llm.pii import BASE_KINDS, detect, span_text
 from trapline.llm.simhash import near_duplicates
 from trapline.llm.tokens import count_tokens
@@ -83,6 +84,11 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
     return count_tokens(_table(spark, directory, "documents"), cache, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_passages(spark: SparkSession, directory: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, with the occurrence that stays."""
+    return repeated_passages(_table(spark, directory, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -93,5 +99,6 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
+    "op10_passages": op10_passages,
 }
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL}
