@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fixtures.views import Survey, sentence, total, with_views
 from trapline import constants as K
-from trapline.functions.classes import class_of, recode_levels
+from trapline.functions.classes import class_of
 from trapline.functions.missing import ascending, n_distinct_or_missing
 from trapline.functions.sphere import EARTH_RADIUS_M, ring_area_m2
 from trapline.functions.text import (
@@ -21,7 +22,7 @@ from trapline.functions.text import (
 )
 from trapline.operators.choices import filter_groups, filter_in, filter_reported, filter_selected
 from trapline.operators.clusters import cell_degrees
-from trapline.operators.joins import left_join_na, semi_join
+from trapline.operators.joins import left_join_na
 from trapline.operators.order import (
     order_by_count,
     rank_by_frequency,
@@ -39,9 +40,16 @@ from trapline.operators.rollup import (
     median_by,
     tested_by_country,
 )
-from trapline.operators.spatial import join_points_in_regions, sites_by_region, studies_by_region
+from trapline.operators.levels import levels_of, with_level_colour
+from trapline.operators.spatial import (
+    join_points_in_regions,
+    region_studies_text,
+    sites_by_region,
+    studies_by_region,
+)
 from trapline.plans import associations, microbes, sites, species, studies
-from trapline.sources.tables import union_regions, with_lon_lat
+from trapline.session import shared_folder
+from trapline.sources.tables import load_regions, load_table, union_regions, with_lon_lat
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,6 +193,20 @@ def _(s: Survey) -> DataFrame:
     )
 
 
+_BY_YEAR = """
+with n as (select unique_id, row_number() over (order by year_published desc nulls last, unique_id nulls last) as position from fx_studies)"""
+
+
+@check(
+    "selected_studies_text_by_year",
+    _BY_YEAR + f"""
+select 'Selected studies:' || string_agg(cast(unique_id as varchar), ', ' order by spot) as selection
+from n join (values {", ".join(f"({p}, {i})" for i, p in enumerate(STUDY_ROWS))}) as c(p, spot) on position = p""",
+)
+def _(s: Survey) -> DataFrame:
+    return studies.selected_studies_text(s.studies, STUDY_ROWS, [F.col("year_published").desc_nulls_last()])
+
+
 _CLICKED = ", ".join(f"({p}, {i})" for i, p in enumerate(STUDY_ROWS))
 
 
@@ -270,6 +292,21 @@ def _(s: Survey) -> DataFrame:
     return sites.selected_site_layer(s.spatial, s.studies, STUDY_ROWS, AIMS)
 
 
+@check(
+    "selected_site_layer_by_year",
+    _BY_YEAR + f"""
+select lon, lat, case aim when 'Ecology' then '#FFA500' when 'Zoonoses risk' then '#A020F0' end as colour,
+ 6 as radius, 'Study ID: ' || coalesce(cast(unique_id as varchar), 'NA') || '<br>' || trap_period
+ || '<br>Village/Region: ' || coalesce(town_village, 'NA') || '<br>Number of trap nights: '
+ || coalesce(cast(trap_nights as varchar), 'NA') as popup, 'Selected studies' as layer
+from fx_spatial where unique_id in
+ (select unique_id from n where position in ({', '.join(map(str, STUDY_ROWS))}))""",
+)
+def _(s: Survey) -> DataFrame:
+    order = [F.col("year_published").desc_nulls_last()]
+    return sites.selected_site_layer(s.spatial, s.studies, STUDY_ROWS, order=order)
+
+
 _CROSSES = """(e.y1 > p.lat) <> (e.y2 > p.lat)
   and p.lon < case when e.y1 = e.y2 then 0 else (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 end"""
 
@@ -296,12 +333,8 @@ def _per_region(group: str) -> str:
     return f"""
 seen as (select g.{group}, h.unique_id, count(*) as n, min(h.ord) as first from hits h
   join areas g on h.region_id = g.region_id group by 1, 2),
- placed as (select *, (row_number() over (partition by {group} order by first, unique_id nulls last) - 1)
-  // 1000 + 1 as page from seen),
- totals as (select {group}, cast(sum(n) as bigint) as n, count(*) as n_studies from seen group by 1),
- pages as (select {group}, page, string_agg(coalesce(cast(unique_id as varchar), 'NA'), ', '
-  order by first, unique_id nulls last) as studies from placed group by 1, 2),
- counts as (select t.{group}, t.n, t.n_studies, p.page, p.studies from totals t join pages p using ({group}))"""
+ counts as (select {group}, cast(sum(n) as bigint) as n, count(*) as n_studies,
+  count(unique_id) as n_known_studies from seen group by 1)"""
 
 
 def _classes(c: str, breaks) -> str:
@@ -312,19 +345,24 @@ def _classes(c: str, breaks) -> str:
     return f"case {' '.join(parts)} end"
 
 
-def _density(group: str, edges: str = "fx_level_2_edges") -> str:
+def _density(group: str, edges: str = "fx_level_2_edges", areas=_areas) -> str:
     return f"""
-with {_hits(edges)}, {_areas(edges)}, {_per_region(group)},
- dens as (select a.region_id, a.name_2, c.n, c.n_studies, c.page, c.studies, a.area_m2,
+with {_hits(edges)}, {areas(edges)}, {_per_region(group)},
+ dens as (select a.region_id, a.name_2, c.n, c.n_studies, c.n_known_studies, a.area_m2,
   c.n / (a.area_m2 / 1000000.0) as d from areas a left join counts c on a.{group} = c.{group})"""
 
 
-def _density_rows(group: str, edges: str = "fx_level_2_edges") -> str:
-    return _density(group, edges) + f"""
-select region_id, name_2, n, n_studies, page, studies, round(area_m2, 0) as area_m2,
+def _density_rows(group: str, edges: str = "fx_level_2_edges", areas=_areas) -> str:
+    return _density(group, edges, areas) + f"""
+select region_id, name_2, n, n_studies, n_known_studies, round(area_m2, 0) as area_m2,
  round(d, 9) as sites_per_km2, {_classes('d', K.DENSITY_BREAKS)} as density_class from dens"""
 
 
+def _study_texts(key: str) -> str:
+    return f"""(select {key}, string_agg(coalesce(cast(unique_id as varchar), 'NA'), ', '
+  order by first, unique_id nulls last) as studies from seen group by 1)"""
+
+
 @check("site_density_by_region", _density_rows("region_id"))
 def _(s: Survey) -> DataFrame:
     density = sites.site_density_by_region(s.level_2, s.spatial).drop("ring")
@@ -343,19 +381,25 @@ def _(s: Survey) -> DataFrame:
     return rounded(density, area_m2=0, sites_per_km2=9)
 
 
+_READ_REGIONS = [0, 7, 12]  # regions whose labels are read
+
+
 @check(
     "density_layer",
-    _density("region_id") + """
+    _density("region_id") + f"""
 select region_id as region, round(d, 9) as value,
  case when d < 0.001 then '0.000 to 0.001' when d < 0.005 then '0.001 to 0.005'
   when d < 0.01 then '0.005 to 0.010' when d < 0.05 then '0.010 to 0.050'
   when d < 1 then '0.050 to 1.000' when d <= 6 then '1.000 to 6.000' end as class,
- name_2 || '<br>Site density: ' || printf('%.6f', d) || '<br>Studies trapping here: ' || studies as label,
- 'Trap density map' as layer from dens where studies <> 'NA'""",
+ name_2 || '<br>Site density: ' || printf('%.6f', d) || coalesce('<br>Studies trapping here: ' || studies, '') as label,
+ 'Trap density map' as layer from dens left join (select * from {_study_texts('region_id')}
+  where region_id in ({', '.join(map(str, _READ_REGIONS))})) using (region_id) where n_known_studies > 0""",
 )
 def _(s: Survey) -> DataFrame:
     density = sites.site_density_by_region(s.level_2, s.spatial)
-    return rounded(sites.density_layer(density).drop("ring"), value=9)
+    seen = sites.studies_in_regions(s.level_2, s.spatial)
+    texts = region_studies_text(seen, "region_id", "unique_id", _READ_REGIONS)
+    return rounded(sites.density_layer(density, texts).drop("ring"), value=9)
 
 
 @check("site_density_by_district", _density_rows("region_id", "fx_district_edges"))
@@ -389,14 +433,72 @@ def _(s: Survey) -> DataFrame:
     return sites_by_region(hits, "region_id")
 
 
+def _seen(s: Survey) -> DataFrame:
+    return sites.studies_in_regions(s.level_2, s.spatial)
+
+
+@check(
+    "region_studies",
+    f"with {_HITS} select region_id, unique_id, count(*) as n, min(ord) as first_ord from hits group by 1, 2",
+)
+def _(s: Survey) -> DataFrame:
+    return _seen(s)
+
+
+@check("studies_by_region", f"with {_HITS}, {_AREAS}, {_per_region('region_id')} select * from counts")
+def _(s: Survey) -> DataFrame:
+    return studies_by_region(_seen(s), "region_id", "unique_id")
+
+
+@check(
+    "region_studies_text",
+    f"""
+with {_HITS}, {_AREAS}, {_per_region('region_id')} select * from {_study_texts('region_id')}
+where region_id in ({', '.join(map(str, _READ_REGIONS))})""",
+)
+def _(s: Survey) -> DataFrame:
+    return region_studies_text(_seen(s), "region_id", "unique_id", _READ_REGIONS)
+
+
+# One region with a study per site: thousands of studies at any scale.
+_ALL_SITES = "select (select r_name from region where r_regionkey = 0) as region_id, ord from fx_spatial"
+
+
+@check(
+    "studies_of_a_crowded_region",
+    f"select region_id, count(*) as n, count(*) as n_studies, count(*) as n_known_studies from ({_ALL_SITES}) group by 1",
+)
+def _(s: Survey) -> DataFrame:
+    crowded = s.spatial.withColumn("unique_id", F.col("ord"))
+    return studies_by_region(sites.studies_in_regions(s.whole, crowded), "region_id", "unique_id")
+
+
 @check(
-    "studies_by_region",
-    f"with {_HITS}, {_AREAS}, {_per_region('region_id')} select * from counts",
+    "studies_text_of_a_crowded_region",
+    f"select region_id, string_agg(cast(ord as varchar), ', ' order by ord) as studies from ({_ALL_SITES}) group by 1",
 )
 def _(s: Survey) -> DataFrame:
-    points = s.spatial.select("ord", "unique_id", "lon", "lat")
-    hits = join_points_in_regions(points, s.level_2, "region_id")
-    return studies_by_region(hits, "region_id", "unique_id", "ord")
+    crowded = s.spatial.withColumn("unique_id", F.col("ord"))
+    seen = sites.studies_in_regions(s.whole, crowded)
+    return region_studies_text(seen, "region_id", "unique_id", ["AFRICA"])
+
+
+def _holed_areas(edges: str) -> str:
+    ring = f"""abs(sum(2 * atan2(tan(radians(x2 - x1) / 2) * ({_T1} + {_T2}), 1 + {_T1} * {_T2})))"""
+    return f"""
+areas as (select region_id, name_2, sum(a) * {EARTH_RADIUS_M} * {EARTH_RADIUS_M} as area_m2 from (
+ select region_id, name_2, sign * {ring} as a from {edges} group by region_id, name_2, part, sign) group by 1, 2)"""
+
+
+@check("points_in_holed_regions", f"with {_hits('fx_holed_edges')} select ord, lon, lat, region_id from hits")
+def _(s: Survey) -> DataFrame:
+    return join_points_in_regions(s.spatial.select("ord", "lon", "lat"), s.holed, "region_id")
+
+
+@check("site_density_of_holed_regions", _density_rows("region_id", "fx_holed_edges", _holed_areas))
+def _(s: Survey) -> DataFrame:
+    density = sites.site_density_by_region(s.holed, s.spatial).drop("ring")
+    return rounded(density, area_m2=0, sites_per_km2=9)
 
 
 @check(
@@ -422,17 +524,42 @@ select region_id, name_2, gid_0, count(*) + 1 as outline_points from fx_district
 group by 1, 2, 3""",
 )
 def _(s: Survey) -> DataFrame:
-    nations, continents = s.table("nation"), s.table("region")
-    member = F.col("n_regionkey") == F.col("r_regionkey")
-    code = F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("gid_0")
-    frames = [
-        semi_join(s.districts, nations.join(continents.filter(F.col("r_name") == name), member).select(code), ["gid_0"])
-        for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-    ]
+    # One frame per remainder of the region id, as a survey has one per country.
+    frames = [s.districts.filter(F.col("region_id") % 5 == part) for part in range(5)]
     points = F.size(F.flatten("ring")).cast("bigint").alias("outline_points")
     return union_regions(frames).select("region_id", "name_2", "gid_0", points)
 
 
+def _stored(s: Survey, df: DataFrame) -> str:
+    """Folder with ``df`` as a single table in the cluster's shared folder."""
+    folder = f"{shared_folder(df.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/level_2_sites.parquet")
+    return folder
+
+
+@check(
+    "regions_loaded",
+    "select cast(region_id as varchar) as region_id, name_2, count(*) + 1 as outline_points from fx_district_edges group by 1, 2",
+)
+def _(s: Survey) -> DataFrame:
+    folder = f"{shared_folder(s.districts.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    s.districts.withColumn("country", F.col("gid_0")).write.partitionBy("country").parquet(folder)
+    points = F.size(F.flatten("ring")).cast("bigint").alias("outline_points")
+    return load_regions(s.districts.sparkSession, folder).select("region_id", "name_2", points)
+
+
+@check(
+    "density_layer_from_stored_table",
+    _density("region_id") + """
+select cast(region_id as varchar) as region, round(d, 9) as value, name_2 || '<br>Site density: ' || printf('%.6f', d) as label
+from dens where n_known_studies > 0""",
+)
+def _(s: Survey) -> DataFrame:
+    folder = _stored(s, sites.site_density_by_region(s.level_2, s.spatial))
+    stored = load_table(s.level_2.sparkSession, folder, "level_2_sites")
+    return rounded(sites.density_layer(stored).select("region", "value", "label"), value=9)
+
+
 @check("sites_from_wkt", "select ord, lon, lat from fx_spatial")
 def _(s: Survey) -> DataFrame:
     text = F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")"))
@@ -444,7 +571,19 @@ def _(s: Survey) -> DataFrame:
     "select ord, aim, case aim when 'Ecology' then '#FFA500' else '#A020F0' end as colour from fx_spatial",
 )
 def _(s: Survey) -> DataFrame:
-    return s.spatial.select("ord", "aim", recode_levels(F.col("aim"), AIMS, K.AIM_PALETTE).alias("colour"))
+    rows = s.spatial.select("ord", "aim")
+    return with_level_colour(rows, "aim", levels_of(rows, "aim"), K.AIM_PALETTE)
+
+
+@check(
+    "village_colours",
+    """
+select ord, town_village, case (dense_rank() over (order by town_village) - 1) % 2 when 0 then '#FFA500' else '#A020F0' end as colour
+from fx_spatial""",
+)
+def _(s: Survey) -> DataFrame:
+    rows = s.spatial.select("ord", "town_village")
+    return with_level_colour(rows, "town_village", levels_of(rows, "town_village"), K.AIM_PALETTE)
 
 
 @check("value_classes", f"select event_id, {_classes('value', VALUE_BREAKS)} as class from events")
@@ -781,6 +920,25 @@ def _(s: Survey) -> DataFrame:
     return associations.host_pathogen_table(s.pathogen, HOSTS, PATHOGENS)
 
 
+@check("host_pathogen_table_from_raw_names", _table(_BY_HOST))
+def _(s: Survey) -> DataFrame:
+    return associations.host_pathogen_table(s.raw_pathogen, HOSTS, [K.ALL], raw=True)
+
+
+@check(
+    "host_pathogen_page",
+    f"""
+with {_rollup()} select * from t where contains(lower(classification), 'ring') and number_of_studies >= 2
+ and contains(lower(concat_ws(' ', {_KEYS}, number_of_studies, number_positive, number_tested)), 'brand#1')
+order by number_tested desc nulls last, {', '.join(c + ' nulls last' for c in _KEYS.split(', '))} limit 10 offset 10""",
+)
+def _(s: Survey) -> DataFrame:
+    return associations.host_pathogen_page(
+        s.pathogen, page=2, order=[F.col("number_tested").desc_nulls_last()], search="brand#1",
+        column_filters={"classification": "ring", "number_of_studies": (2, None)},
+    )
+
+
 @check("host_pathogen_table_no_host", _table())
 def _(s: Survey) -> DataFrame:
     return associations.host_pathogen_table(s.pathogen, [], PATHOGENS)

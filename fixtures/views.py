@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.sources.tables import load_table, spread
+from trapline.sources.tables import load_table
 
 # Columns read from each test table.
 SOURCES = {
@@ -29,12 +29,10 @@ SOURCES = {
     "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double",
 }
 
-# Tables with one row per observation, by a column that spreads their rows; the others describe them.
-LARGE = {"lineitem": "l_orderkey", "events": "event_id"}
-
+# Five events share a spot, so the number of spots grows with the data.
 _EVENT_POINT = """
- -17 + 24 * ((event_id % 2000 * 7919) % 10007) / cast(10007 as double) as lon,
- 4 + 20 * ((event_id % 2000 * 104729) % 10009) / cast(10009 as double) as lat"""
+ -17 + 24 * ((floor(event_id / cast(5 as double)) * 7919) % 10007) / cast(10007 as double) as lon,
+ 4 + 20 * ((floor(event_id / cast(5 as double)) * 104729) % 10009) / cast(10009 as double) as lat"""
 _SUPPLIER_POINT = """
  -17 + 24 * ((l_suppkey * 7919) % 10007) / cast(10007 as double) as lon,
  4 + 20 * ((l_suppkey * 104729) % 10009) / cast(10009 as double) as lat"""
@@ -137,6 +135,42 @@ def _edges_sql(columns: str, source: str, corner) -> str:
     return " union all ".join(parts)
 
 
+# Outlines with parts and holes: a square per nation with a smaller square in it, wound as the outer one
+# or the other way, and an island in every third hole. Sides in hundredths of a degree.
+_SQUARES = ((20, 20, 380, 1), (80, 80, 240, None), (140, 140, 60, 1))
+
+
+def _square(x: int, y: int, side: int, forward: bool) -> list[tuple[str, str]]:
+    corners = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    return [
+        (f"-17 + ({_NATION_X} + {a}) / cast(100 as double)", f"4 + ({_NATION_Y} + {b}) / cast(100 as double)")
+        for a, b in (corners if forward else corners[::-1])
+    ]
+
+
+def _holed_ring_sql() -> str:
+    def ring(points: list[tuple[str, str]]) -> str:
+        return "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in points) + ")"
+
+    outer, hole, island = _SQUARES
+    hole_ring = f"if(n_nationkey % 2 = 0, {ring(_square(*hole[:3], True))}, {ring(_square(*hole[:3], False))})"
+    whole = f"array({ring(_square(*outer[:3], True))}, {hole_ring}, {ring(_square(*island[:3], True))})"
+    return f"if(n_nationkey % 3 = 0, {whole}, slice({whole}, 1, 2))"
+
+
+def _holed_edges_sql() -> str:
+    parts = []
+    for number, (x, y, side, _) in enumerate(_SQUARES):
+        points = _square(x, y, side, True)
+        where = " where n_nationkey % 3 = 0" if number == 2 else ""
+        parts += [
+            f"select n_nationkey as region_id, n_name as name_2, {-1 if number == 1 else 1} as sign, {number} as part, "
+            f"{x1} as x1, {y1} as y1, {x2} as x2, {y2} as y2 from nation{where}"
+            for (x1, y1), (x2, y2) in zip(points, points[1:])
+        ]
+    return " union all ".join(parts)
+
+
 _LEVEL_2 = "n_nationkey as region_id, concat('R', cast(n_nationkey % 20 as string)) as name_2"
 _DISTRICT = (
     "s_suppkey as region_id, s_name as name_2, concat('N', cast(s_nationkey as string)) as gid_0"
@@ -158,8 +192,7 @@ class Survey:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            table = load_table(self._spark, self._directory, name, SOURCES[name])
-            self._tables[name] = spread(table, LARGE[name]) if name in LARGE else table
+            self._tables[name] = load_table(self._spark, self._directory, name, SOURCES[name])
         return self._tables[name]
 
     def _view(self, sql: str) -> DataFrame:
@@ -182,9 +215,13 @@ class Survey:
     def rodent_summary(self) -> DataFrame:
         return self._view(VIEWS["fx_rodent_summary"])
 
+    @cached_property
+    def raw_pathogen(self) -> DataFrame:
+        return self._view(VIEWS["fx_pathogen"])
+
     @cached_property
     def pathogen(self) -> DataFrame:
-        return prepare_pathogen(self._view(VIEWS["fx_pathogen"]))
+        return prepare_pathogen(self.raw_pathogen)
 
     @cached_property
     def level_0(self) -> DataFrame:
@@ -199,6 +236,18 @@ class Survey:
     def level_2(self) -> DataFrame:
         return self._view(f"select {_LEVEL_2}, {_ring_sql(_nation_corner)} as ring from {{nation}}")
 
+    @cached_property
+    def holed(self) -> DataFrame:
+        """Regions with holes of either winding, and islands in some holes."""
+        return self._view(f"select n_nationkey as region_id, n_name as name_2, {_holed_ring_sql()} as ring from {{nation}}")
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """One region that holds every site."""
+        corners = ((-18.0, 3.0), (8.0, 3.0), (8.0, 25.0), (-18.0, 25.0), (-18.0, 3.0))
+        points = ", ".join(f"named_struct('x', {x}d, 'y', {y}d)" for x, y in corners)
+        return self._view(f"select r_name as region_id, array(array({points})) as ring from {{region}} where r_regionkey = 0")
+
     @cached_property
     def districts(self) -> DataFrame:
         """Regions whose number grows with the data: one per supplier, with its country code."""
@@ -237,6 +286,7 @@ def with_views(sql: str) -> str:
     plain["fx_district_edges"] = _edges_sql(
         _DISTRICT, _PLACED_SUPPLIERS.replace("{supplier}", "supplier"), _supplier_corner
     )
+    plain["fx_holed_edges"] = _holed_edges_sql()
     plain["px_pathogen"] = (
         f"select * replace ({sentence('classification')} as classification) from fx_pathogen"
     )

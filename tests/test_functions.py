@@ -93,6 +93,21 @@ def test_area_subtracts_holes_adds_parts_and_ignores_direction(spark):
     assert area(spark, []) == 0.0
 
 
+@pytest.mark.parametrize("outer_turned", [False, True])
+@pytest.mark.parametrize("hole_turned", [False, True])
+def test_a_hole_is_subtracted_whatever_its_direction(spark, outer_turned, hole_turned):
+    def square(x, y, side, turned=False):
+        ring = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+        return ring[::-1] if turned else ring
+
+    outer, hole, island, part = square(0, 0, 4, outer_turned), square(1, 1, 2, hole_turned), square(1.5, 1.5, 1), square(9, 0, 1)
+    one = {name: area(spark, [ring]) for name, ring in zip("ohip", (outer, hole, island, part))}
+    assert area(spark, [outer, hole]) == pytest.approx(one["o"] - one["h"], rel=1e-9)
+    assert area(spark, [hole, outer]) == pytest.approx(one["o"] - one["h"], rel=1e-9)
+    whole = one["o"] - one["h"] + one["i"] + one["p"]
+    assert area(spark, [part, island, hole, outer]) == pytest.approx(whole, rel=1e-9)
+
+
 def test_density_is_missing_without_count_or_area(spark):
     data = [(5, 1_000_000.0), (None, 1_000_000.0), (5, 0.0)]
     df = spark.createDataFrame(data, "n bigint, a double").coalesce(1)

@@ -1,10 +1,13 @@
 """Physical plans of every checked query, including the steps stored on the way."""
 
 import re
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures.catalog import CATALOG
+from fixtures.views import VIEWS
 
 FORBIDDEN = (
     "BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroups",
@@ -21,18 +24,20 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark, small_dir):
-    from pyspark.sql.classic.dataframe import DataFrame
+    from trapline import session
 
-    found, original = {}, DataFrame.checkpoint
+    real, found = session.settle, {}
     with pytest.MonkeyPatch.context() as patch:
-        for name, (query, _) in CATALOG.items():
-            stored = []
+        stored = []
 
-            def record(self, eager=True, stored=stored):
-                stored.append(plan(self))
-                return original(self, eager)
+        def record(df):
+            stored.append(plan(df))
+            return real(df)
 
-            patch.setattr(DataFrame, "checkpoint", record)
+        for module in [m for name, m in sys.modules.items() if name.startswith("trapline.") and hasattr(m, "settle")]:
+            patch.setattr(module, "settle", record)
+        for name, (query, _) in CATALOG.items():
+            stored.clear()
             result = plan(query(spark, small_dir))
             found[name] = [*stored, result]
     return found
@@ -58,23 +63,59 @@ def test_only_bounded_rows_meet_in_one_task(plans, name):
 def test_scans_read_only_the_columns_in_use(plans):
     text = "\n".join(plans["habitat_counts"])
     schema = re.search(r"ReadSchema: struct<(l_[^>]*)>", text).group(1)
-    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_linenumber", "l_orderkey", "l_partkey"]
+    assert sorted(c.split(":")[0] for c in schema.split(",")) == ["l_linenumber", "l_partkey"]
 
 
 def test_choices_reach_the_scan(spark, tmp_path, small_dir):
     from fixtures.views import Survey
-    from trapline.operators.choices import filter_host_pathogen
-    from trapline.operators.rollup import host_pathogen
     from trapline.operators.spatial import join_points_in_regions
-
-    survey = Survey.open(spark, small_dir)
-    survey.pathogen.write.parquet(f"{tmp_path}/pathogen")
-    stored = spark.read.parquet(f"{tmp_path}/pathogen")
+    from trapline.plans import associations
+    from trapline.sources.tables import conform, table_schema
+    from trapline.survey import open_survey, store_prepared
+
+    source = Survey.open(spark, small_dir)
+    tables = {"species": source._view(VIEWS["fx_species"]).withColumn("presence_absence", F.lit("Presence"))}
+    tables |= {"pathogen": source.raw_pathogen, "rodent_summary": source.rodent_summary, "spatial": source.spatial}
+    tables |= {"studies": source.studies, "studies_all": source.studies, "level_0": source.level_0, "level_2": source.level_2}
+    for name, table in tables.items():
+        conform(table, table_schema(name), name).write.parquet(f"{tmp_path}/raw/{name}.parquet")
+    recorded = open_survey(spark, f"{tmp_path}/raw")
+    store_prepared(recorded, f"{tmp_path}/clean")
+    survey = open_survey(spark, f"{tmp_path}/clean", prepared=True)
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    text = plan(host_pathogen(filter_host_pathogen(stored, ["Red bolt"], ["Brand#3"])))
+    text = plan(associations._rollup(survey.pathogen, ["Red bolt"], ["Brand#3"], False))
     assert "EqualTo(classification,Red bolt)" in text and "EqualTo(pathogen_clean,Brand#3)" in text
     assert "lon" not in re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
-    points = stored.select("ord", "lon", "lat")
+    assert "regexp_replace" not in text
+    # From raw names, labels are made above the first aggregate only.
+    raw = spark.read.parquet(f"{tmp_path}/raw/pathogen.parquet")
+    text = plan(associations._rollup(raw, ["Red bolt"], ["Brand#3"], True))
+    assert "regexp_replace" not in text[text.rindex("HashAggregate") :]
+    assert sorted(associations._rollup(raw, ["Red bolt"], None, True).collect(), key=str) == sorted(
+        associations._rollup(survey.pathogen, ["Red bolt"], None, False).collect(), key=str
+    )
+    points = survey.pathogen.select("ord", "lon", "lat")
     text = plan(join_points_in_regions(points, survey.level_2, "region_id"))
     assert "GreaterThanOrEqual(lon,-360.0)" in text and "LessThanOrEqual(lat,90.0)" in text
     assert "Exchange hashpartitioning" not in text
+
+
+def test_first_rows_are_compared_only_where_they_lead(plans):
+    for text in plans["first_assay_per_coordinate"]:
+        below = [line for line in text.splitlines() if "Scan" in line or "LeftSemi" in line]
+        assert any("LeftSemi" in line for line in below)
+
+
+def test_selection_follows_the_page_on_both_sides_of_the_bound(spark, small_dir, monkeypatch):
+    from fixtures.views import Survey
+    from trapline.operators import order
+    from trapline.plans.studies import selected_studies, short_study_table
+
+    table = Survey.open(spark, small_dir).studies.select("unique_id", "year_published", "title")
+    sort = [F.col("year_published").desc_nulls_last()]
+    page = [r.unique_id for r in short_study_table(table, order=sort, limit=40).collect()]
+    for bound in (10_000, 10):
+        monkeypatch.setattr(order, "TOP_K_POSITIONS", bound)
+        for parts in (1, 3, 16):
+            chosen = selected_studies(table.repartition(parts), range(1, 41), sort)
+            assert [r.unique_id for r in chosen.orderBy("position").collect()] == page

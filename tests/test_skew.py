@@ -7,7 +7,7 @@ from trapline.functions.missing import ascending
 from trapline.operators.clusters import cluster_points
 from trapline.operators.order import with_row_id
 from trapline.operators.rollup import host_pathogen, median_by
-from trapline.operators.spatial import studies_by_region
+from trapline.operators.spatial import region_studies, region_studies_text, studies_by_region
 
 ROWS = 60_000
 
@@ -48,12 +48,12 @@ def test_clusters_of_a_hot_spot(assays):
     assert found[0] == (ROWS, ROWS) and found[9][0] >= ROWS // 3 and found[9][1] == ROWS
 
 
-def test_study_list_of_a_hot_region_is_whole_and_paged(assays):
-    hits = assays.withColumn("ord", F.col("unique_id"))
-    pages = studies_by_region(hits, "country", "unique_id", "ord", page_size=500).filter("country = 'Hot'")
-    listed = [r.studies for r in pages.orderBy("page").collect()]
-    assert len(listed) == ROWS // 3 // 500
-    assert ", ".join(listed).split(", ") == [str(i) for i in range(0, ROWS, 3)]
+def test_study_list_of_a_hot_region_is_whole(assays):
+    seen = region_studies(assays.withColumn("ord", F.col("unique_id")), "country", "unique_id", "ord")
+    counts = {r.country: (r.n, r.n_studies) for r in studies_by_region(seen, "country", "unique_id").collect()}
+    assert counts["Hot"] == (ROWS // 3, ROWS // 3) and len(counts) == 51
+    listed = region_studies_text(seen, "country", "unique_id", ["Hot"]).first().studies
+    assert listed.split(", ") == [str(i) for i in range(0, ROWS, 3)]
 
 
 def test_numbering_spreads_a_hot_key(spark, assays, monkeypatch):

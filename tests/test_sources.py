@@ -8,7 +8,6 @@ from trapline.sources.paging import table_page
 from trapline.sources.tables import (
     load_regions,
     load_table,
-    spread,
     table_schema,
     union_regions,
     with_lon_lat,
@@ -43,14 +42,6 @@ def test_region_tables_stack_by_name(spark, tmp_path, rows):
     assert sorted(load_regions(spark, f"{tmp_path}/countries", schema).collect()) == [("a", 1), ("b", 2)]
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, cores)
-    assert spread(wide, "id") is wide
-    narrow = spark.range(0, 100, 1, 1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == cores
-
-
 def test_points_from_text(rows):
     df = rows([(1, "POINT (-13.25 8.5)"), (2, "point( 1 -2.5 )"), (3, "LINESTRING (0 0, 1 1)"), (4, None)], "i int, geometry string")
     out = {r.i: (r.lon, r.lat) for r in with_lon_lat(df).collect()}

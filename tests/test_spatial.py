@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from trapline.operators.spatial import (
     join_points_in_regions,
     region_cells,
+    region_studies,
+    region_studies_text,
     sites_by_region,
     studies_by_region,
 )
-from trapline.plans.sites import density_layer, site_density_by_region
+from trapline.plans.sites import density_layer, site_density_by_region, studies_in_regions
 
 REGION = "region_id string, name_2 string, ring array<array<struct<x:double,y:double>>>"
 
@@ -116,14 +118,14 @@ def test_cells_per_region_are_bounded_whatever_its_size(spark):
     shapes = {"world": [box(-180, -90, 180, 90)], "yard": [box(1, 1, 1.00001, 1.00001)], "dot": [box(3, 3, 3, 3)]}
     cells = region_cells(as_regions(spark, shapes), "region_id")
     per_region = dict(cells.groupBy("region_id").count().collect())
-    assert max(per_region.values()) <= 5 * 5
+    assert max(per_region.values()) <= 9 * 9
 
 
 def test_cells_inside_a_region_need_no_edges(spark):
     ring = [(10 * math.cos(a / 50 * math.pi), 10 * math.sin(a / 50 * math.pi)) for a in range(100)]
     cells = region_cells(as_regions(spark, {"disc": [ring + ring[:1]]}), "region_id")
     sizes = [len(r.edges) for r in cells.collect()]
-    assert len(sizes) <= 33 * 33
+    assert len(sizes) <= 65 * 65
     assert sizes.count(0) > len(sizes) / 3 and max(sizes) < 60
 
 
@@ -148,15 +150,39 @@ def test_no_regions_give_no_hits(spark):
     assert found.columns == ["ord", "lon", "lat", "region_id"] and found.count() == 0
 
 
-def test_studies_are_listed_in_first_seen_order_and_paged_whole(rows):
-    data = [("r", "s3", 5), ("r", "s1", 2), ("r", None, 1), ("r", "s3", 0), ("r", "s2", 9), ("q", "s9", 1)]
-    table = rows(data, "region string, study string, ord int")
-    one = {r.region: (r.n, r.n_studies, r.page, r.studies) for r in studies_by_region(table, "region", "study", "ord").collect()}
-    assert one == {"r": (5, 4, 1, "s3, NA, s1, s2"), "q": (1, 1, 1, "s9")}
-    paged = studies_by_region(table, "region", "study", "ord", page_size=3)
-    assert sorted((r.region, r.page, r.n_studies, r.studies) for r in paged.collect()) == [
-        ("q", 1, 1, "s9"), ("r", 1, 4, "s3, NA, s1"), ("r", 2, 4, "s2"),
-    ]
+def test_studies_are_counted_and_listed_in_first_seen_order(rows):
+    data = [("r", "s3", 5), ("r", "s1", 2), ("r", None, 1), ("r", "s3", 0), ("r", "s2", 9), ("q", "s9", 1), ("p", None, 1)]
+    seen = region_studies(rows(data, "region string, study string, ord int"), "region", "study", "ord")
+    counts = {r.region: (r.n, r.n_studies, r.n_known_studies) for r in studies_by_region(seen, "region", "study").collect()}
+    assert counts == {"r": (5, 4, 3), "q": (1, 1, 1), "p": (1, 1, 0)}
+    texts = region_studies_text(seen, "region", "study", ["r", "p"])
+    assert dict(texts.collect()) == {"r": "s3, NA, s1, s2", "p": "NA"}
+
+
+def test_a_region_with_thousands_of_studies_is_one_row(spark):
+    shapes = {"many": [box(0, 0, 1, 1)], "few": [box(5, 0, 6, 1)], "none": [box(9, 9, 10, 10)]}
+    regions = as_regions(spark, shapes, {k: k for k in shapes})
+    points = [(0.1 + i % 80 / 100, 0.5) for i in range(2_500)] + [(5.5, 0.5)]
+    sites = as_points(spark, points).withColumn("unique_id", F.concat(F.lit("s"), F.col("ord").cast("string")))
+    density = site_density_by_region(regions, sites)
+    assert density.count() == 3
+    found = {r.region_id: (r.n, r.n_studies) for r in density.collect()}
+    assert found == {"many": (2_500, 2_500), "few": (1, 1), "none": (None, None)}
+    seen = studies_in_regions(regions, sites)
+    texts = region_studies_text(seen, "region_id", "unique_id", ["many"])
+    assert texts.first().studies == ", ".join(f"s{i}" for i in range(2_500))
+    layer = {r.region: r.label for r in density_layer(density, texts).collect()}
+    assert set(layer) == {"many", "few"} and layer["many"].endswith("s2499") and "Studies" not in layer["few"]
+
+
+def test_few_cell_widths_serve_regions_of_all_sizes(spark):
+    pick = random.Random(4)
+    shapes = {}
+    for i in range(400):
+        x, y, size = pick.uniform(-150, 150), pick.uniform(-60, 60), 10 ** pick.uniform(-2, 1.3)
+        shapes[f"r{i}"] = [box(x, y, x + size, y + size)]
+    cells = region_cells(as_regions(spark, shapes), "region_id")
+    assert cells.select("scale").distinct().count() <= 6
 
 
 def test_density_by_id_and_by_shared_name(spark):
@@ -166,15 +192,11 @@ def test_density_by_id_and_by_shared_name(spark):
         "unique_id", F.concat(F.lit("s"), F.col("ord").cast("string"))
     )
     by_id = {r.region_id: r for r in site_density_by_region(regions, sites).collect()}
-    assert {k: (r.n, r.studies) for k, r in by_id.items()} == {
-        "r1": (2, "s0, s1"), "r2": (1, "s2"), "r3": (None, None),
-    }
+    assert {k: (r.n, r.n_studies) for k, r in by_id.items()} == {"r1": (2, 2), "r2": (1, 1), "r3": (None, None)}
     assert by_id["r3"].sites_per_km2 is None and by_id["r3"].density_class is None
     assert by_id["r1"].sites_per_km2 == pytest.approx(2 / (by_id["r1"].area_m2 / 1e6))
     assert by_id["r1"].density_class == 1
     by_name = site_density_by_region(regions, sites, group="name_2")
-    assert {r.region_id: (r.n, r.studies) for r in by_name.collect()} == {
-        "r1": (3, "s0, s1, s2"), "r2": (3, "s0, s1, s2"), "r3": (None, None),
-    }
+    assert {r.region_id: (r.n, r.n_studies) for r in by_name.collect()} == {"r1": (3, 3), "r2": (3, 3), "r3": (None, None)}
     shown = density_layer(site_density_by_region(regions, sites)).collect()
     assert sorted(r.region for r in shown) == ["r1", "r2"]

@@ -21,14 +21,27 @@ _EXCESS = (
 )
 
 
+# SQL: point (x, y) inside the ring of edges ``{edges}``, by the crossings of a ray to the right.
+_INSIDE = (
+    "aggregate({edges}, false, (acc, e) -> acc <> ((e.y1 > {y}) <> (e.y2 > {y}) and "
+    "if(e.y1 = e.y2, false, {x} < (e.x2 - e.x1) * ({y} - e.y1) / (e.y2 - e.y1) + e.x1)))"
+)
+
+
 def ring_area_m2(ring: str = "ring") -> Column:
     """Area of a polygon column of rings of longitude/latitude points, edges on great circles.
 
-    Rings carry their sign by direction: outer rings one way round, holes the other. Several outer
-    rings add up, holes subtract, and it does not matter which way is which.
+    A ring that lies in an odd number of the others is a hole and is subtracted, whatever its
+    direction; all others, islands in holes included, add up. Where a ring lies is decided by
+    the middle of its first edge, as containment is: even-odd on straight edges.
     """
-    edges = f"flatten(transform({ring}, r -> {RING_SEGMENTS}))"
-    angle = F.expr(f"abs(aggregate({edges}, 0d, (acc, e) -> acc + {_EXCESS}))")
+    segments = f"filter(transform({ring}, r -> {RING_SEGMENTS}), s -> size(s) > 0)"
+    x, y = "(s[0].x1 + s[0].x2) / 2", "(s[0].y1 + s[0].y2) / 2"
+    depth = f"size(filter(all, (o, j) -> i <> j and {_INSIDE.format(edges='o', x=x, y=y)}))"
+    one = f"abs(aggregate(s, 0d, (acc, e) -> acc + {_EXCESS}))"
+    signed = f"transform(all, (s, i) -> {one} * if({depth} % 2 = 0, 1d, -1d))"
+    total = f"aggregate({signed}, 0d, (acc, v) -> acc + v)"
+    angle = F.expr(f"transform(array({segments}), all -> {total})[0]")
     return angle * F.lit(EARTH_RADIUS_M * EARTH_RADIUS_M)
 
 

@@ -15,9 +15,6 @@ from trapline import constants as K
 from trapline.functions.missing import ascending, n_distinct_or_missing, sum_or_missing
 from trapline.operators.choices import filter_not_contains
 from trapline.operators.order import with_running_total
-from trapline.session import settle
-
-BROADCAST_BYTES = 64 * 1024 * 1024  # largest key table sent to every executor
 
 
 def count_by(df: DataFrame, *keys: str, number: str = "number") -> DataFrame:
@@ -42,44 +39,41 @@ def distinct_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def first_row_by(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def first_row_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first whole row per key in ``order``, missing values first; the rest of the row breaks ties.
 
-    The best order value per key is found first, by hashing and from few columns. If that table is
-    measured to be small enough for every executor, only rows that hold a best value go on to the comparison of
-    whole rows, which Spark does by sorting; otherwise every row goes on. Either way the comparison
-    is combined on the map side, so one row per key and task is shuffled.
+    The best order value per key is found by hashing, from few columns. An equi-join on key and value
+    then leaves the rows that hold it, and only these are compared whole. The value is part of the
+    join key, so the rows of a hot key spread.
     """
     lead = F.col(order[0])
-    best = settle(
-        df.groupBy(*key).agg(
-            F.min(lead).alias("__best"), F.max(lead.isNull()).alias("__missing")
-        )
-    )
-    text = F.concat_ws("", *[F.col(c).cast("string") for c in [*key, "__best"]])
-    size = best.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
-        marked = best.withColumnsRenamed({c: f"__k_{c}" for c in key})
-        leads = F.when(F.col("__missing"), lead.isNull()).otherwise(lead == F.col("__best"))
-        for c in key:
-            leads = F.col(c).eqNullSafe(F.col(f"__k_{c}")) & leads
-        df = df.join(F.broadcast(marked), leads, "left_semi")
+    best = df.groupBy(*key).agg(
+        F.when(~F.max(lead.isNull()), F.min(lead)).alias("__best")
+    ).withColumnsRenamed({c: f"__k_{c}" for c in key})
+    leads = lead.eqNullSafe(F.col("__best"))
+    for c in key:
+        leads = F.col(c).eqNullSafe(F.col(f"__k_{c}")) & leads
     rest = [c for c in df.columns if c not in order and c not in key]
     row = F.min(F.struct(*order, *rest)).alias("__row")
-    first = df.groupBy(*key).agg(row)
+    first = df.join(best, leads, "left_semi").groupBy(*key).agg(row)
     return first.select(
         *[F.col(c) if c in key else F.col("__row")[c].alias(c) for c in df.columns]
     )
 
 
-def host_pathogen(df: DataFrame) -> DataFrame:
-    """Distinct studies, positives and tested samples per country, host and microorganism."""
+def host_pathogen(df: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct studies, positives and tested samples per country, host and microorganism.
+
+    ``labels`` turn raw key columns into their clean form. Raw names are then grouped per study
+    first, so that a label is made per group and not per row.
+    """
     keys = ["country", "iso3c", "classification", "pathogen_clean"]
     used = ["unique_id", *keys, "assay", "number", "samples_tested"]
-    untested = filter_not_contains(df.select(*used), "assay", K.TESTED).drop("assay")
-    return untested.groupBy(*keys).agg(
+    rows = filter_not_contains(df.select(*used), "assay", K.TESTED).drop("assay")
+    if labels:
+        totals = [sum_or_missing(F.col(c)).alias(c) for c in ("number", "samples_tested")]
+        rows = rows.groupBy("unique_id", *keys).agg(*totals).withColumns(labels)
+    return rows.groupBy(*keys).agg(
         n_distinct_or_missing(F.col("unique_id")).alias("number_of_studies"),
         sum_or_missing(F.col("number")).alias("number_positive"),
         sum_or_missing(F.col("samples_tested")).alias("number_tested"),

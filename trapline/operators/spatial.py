@@ -1,6 +1,6 @@
 """Points in polygons.
 
-Every region is laid on a grid of its own scale: the cell width is the power of two that spreads
+Every region is laid on a grid of its own scale: the cell width is the power of four that spreads
 the region over a handful of cells per side, so a country and a town quarter both cost a bounded
 number of cells. A cell keeps only the edges that can matter to points inside it, and a cell with no
 edge through it is settled once for all its points. Points look up one cell per scale in use, an
@@ -9,22 +9,22 @@ equi-join; a point is then tested against the few edges kept in its cell.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.missing import ascending, text_or_na
+from trapline.functions.missing import text_or_na
 from trapline.functions.sphere import RING_SEGMENTS
-from trapline.operators.joins import left_join_na
-from trapline.operators.order import with_row_id
+from trapline.operators.choices import filter_in
 from trapline.session import settle
 
-# Cells along the longer side of a region: the square root of its edges within these bounds, so that
-# a region has about as many cells as edges.
-FEWEST_CELLS, MOST_CELLS = 4, 32
+# Cells along the longer side of a region: twice the square root of its edges within these bounds,
+# before the cell width is rounded up, so that a region has about as many cells as edges.
+FEWEST_CELLS, MOST_CELLS = 8, 64
+SCALE_STEP = 2  # cell widths are powers of 2**SCALE_STEP, as a point is looked up once per width in use
 FINEST_SCALE = -20  # cell width 2**-20 degrees, about 0.1 m
 BROADCAST_BYTES = 128 * 1024 * 1024  # largest cell table sent to every executor
-SALTS = 16  # ways a crowded cell is split when the cell table is too large to broadcast
-STUDIES_PER_PAGE = 1000
 
 
 def reaches(edge: str, x0: str, x1: str, y0: str, y1: str) -> str:
@@ -74,11 +74,11 @@ def region_cells(regions: DataFrame, key: str, ring: str = "ring") -> DataFrame:
         .selectExpr("*", "greatest(max_x - min_x, max_y - min_y) as extent")
         .selectExpr(
             "*",
-            f"greatest({FEWEST_CELLS}, least({MOST_CELLS}, ceil(sqrt(size(edges))))) as sides",
+            f"greatest({FEWEST_CELLS}, least({MOST_CELLS}, ceil(2 * sqrt(size(edges))))) as sides",
         )
         .selectExpr(
             "*",
-            f"if(extent > 0, greatest(int(ceil(log2(extent / sides))), {FINEST_SCALE}),"
+            f"if(extent > 0, greatest(int(ceil(log2(extent / sides) / {SCALE_STEP})) * {SCALE_STEP}, {FINEST_SCALE}),"
             f" {FINEST_SCALE}) as scale",
         )
         .selectExpr("*", "pow(2d, scale) as width")
@@ -122,8 +122,8 @@ def join_points_in_regions(
     """Each point with the ``key`` of every region that contains it, boundaries included.
 
     The cell table is measured first. Up to ``broadcast_bytes`` it goes to every executor and the
-    points are not shuffled at all; beyond, both sides are shuffled by cell, with the points of a
-    cell spread over ``SALTS`` partitions.
+    points are not shuffled at all; beyond, both sides are shuffled by cell, and AQE splits the
+    points of a crowded cell.
     """
     cells = settle(region_cells(regions, key, ring))
     size = cells.agg(
@@ -147,42 +147,39 @@ def join_points_in_regions(
         & (F.col("__cx") == F.col("cx"))
         & (F.col("__cy") == F.col("cy"))
     )
-    if size["bytes"] <= broadcast_bytes:
-        joined = spotted.join(F.broadcast(cells), same_cell & inside)
-    else:
-        salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        # The hint keeps Catalyst from broadcasting: its estimate does not see what explode adds.
-        joined = spotted.withColumn("__salt", salt).join(
-            cells.withColumn("__copy", copies).hint("merge"),
-            same_cell & (F.col("__salt") == F.col("__copy")) & inside,
-        )
-    return joined.select(*points.columns, key)
-
+    # The hint keeps Catalyst from broadcasting a cell table measured to be too large.
+    way = F.broadcast(cells) if size["bytes"] <= broadcast_bytes else cells.hint("merge")
+    return spotted.join(way, same_cell & inside).select(*points.columns, key)
 
-def studies_by_region(
-    hits: DataFrame, key: str, study: str, order: str, page_size: int = STUDIES_PER_PAGE
-) -> DataFrame:
-    """Site count and comma-joined distinct study ids per region, ids in first-seen order.
 
-    The id text is cut into pages of ``page_size`` ids, so that no row and no task holds all ids of
-    a crowded region. A region with up to ``page_size`` studies has one page, numbered 1; ``n`` and
-    ``n_studies`` are the region's totals on every page.
-    """
-    seen = hits.groupBy(key, study).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")
+def region_studies(hits: DataFrame, key: str, study: str, order: str) -> DataFrame:
+    """Sites ``n`` and first place ``first_ord`` per (region, study). Combined on the map side."""
+    return hits.groupBy(key, study).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_ord")
     )
-    ordered = with_row_id(seen, ascending(key, "__first", study), "__id")
-    totals = ordered.groupBy(key).agg(
-        F.sum("__n").alias("n"),
+
+
+def studies_by_region(seen: DataFrame, key: str, study: str) -> DataFrame:
+    """One row per region: its sites ``n``, its studies, and how many of them have an id."""
+    return seen.groupBy(key).agg(
+        F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("n_studies"),
-        F.min("__id").alias("__start"),
+        F.count(study).alias("n_known_studies"),
     )
-    placed = left_join_na(ordered, totals, key)
-    page = F.floor((F.col("__id") - F.col("__start")) / page_size) + 1
-    ids = F.array_sort(F.collect_list(F.struct("__id", text_or_na(F.col(study)).alias("text"))))
+
+
+def region_studies_text(
+    seen: DataFrame, key: str, study: str, regions: Sequence[object]
+) -> DataFrame:
+    """Comma-joined study ids of the regions asked for, whole, in first-seen order.
+
+    A text is read for one region at a time; it holds all ids of its region, so ask for as many
+    regions as are shown.
+    """
+    entry = F.struct("first_ord", F.col(study).isNull().alias("missing"), study, text_or_na(F.col(study)).alias("text"))
+    ids = F.array_sort(F.collect_list(entry))
     return (
-        placed.groupBy(key, "n", "n_studies", page.alias("page"))
+        filter_in(seen, key, regions).groupBy(key)
         .agg(F.array_join(F.transform(ids, lambda s: s["text"]), ", ").alias("studies"))
     )
 

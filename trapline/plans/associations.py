@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trapline import constants as K
 from trapline.functions.missing import ascending
+from trapline.functions.text import sentence_case
 from trapline.operators.choices import filter_host_pathogen
 from trapline.operators.joins import left_join_na
 from trapline.operators.order import rows_at, with_row_id
 from trapline.operators.rollup import host_pathogen, tested_by_country
+from trapline.sources.paging import table_page
 
 TABLE_KEYS = ("country", "iso3c", "classification", "pathogen_clean")
 TABLE_COLUMNS = (
@@ -24,15 +27,44 @@ def host_pathogen_table(
     pathogen: DataFrame,
     hosts: Sequence[str] | None = None,
     pathogens: Sequence[str] | None = None,
+    raw: bool = False,
 ) -> DataFrame:
     """Numbered host-pathogen table of the chosen hosts and microorganisms.
 
-    ``pathogen`` is the prepared table, whose host names are in sentence case.
+    ``pathogen`` is the prepared table, whose host names are in sentence case, so that a choice
+    reaches the file; or with ``raw`` the table as it was recorded, whose names are made clean after
+    grouping.
     """
-    table = host_pathogen(filter_host_pathogen(pathogen, hosts, pathogens))
+    table = _rollup(pathogen, hosts, pathogens, raw)
     return with_row_id(table, ascending(*TABLE_KEYS)).select(*TABLE_COLUMNS)
 
 
+def host_pathogen_page(
+    pathogen: DataFrame,
+    page: int = 1,
+    hosts: Sequence[str] | None = None,
+    pathogens: Sequence[str] | None = None,
+    raw: bool = False,
+    **page_options,
+) -> DataFrame:
+    """A page of the host-pathogen table, filtered, searched and sorted like the study table."""
+    size = page_options.pop("limit", K.STUDY_PAGE)
+    table = _rollup(pathogen, hosts, pathogens, raw)
+    return table_page(table, TABLE_KEYS, offset=(page - 1) * size, limit=size, **page_options)
+
+
+def _rollup(
+    pathogen: DataFrame, hosts: Sequence[str] | None, pathogens: Sequence[str] | None, raw: bool
+) -> DataFrame:
+    if not raw:
+        return host_pathogen(filter_host_pathogen(pathogen, hosts, pathogens))
+    names = {"classification": sentence_case(F.col("classification"))}
+    table = host_pathogen(pathogen, names)
+    # Bound to an aggregate, so that Catalyst does not move the choice of clean names below the grouping.
+    named = table.withColumn("__host", F.when(F.col("number_of_studies") > 0, F.col("classification")))
+    return filter_host_pathogen(named, hosts, pathogens, host="__host").drop("__host")
+
+
 def tested_per_country(
     pathogen: DataFrame,
     borders: DataFrame,

@@ -12,13 +12,14 @@ from trapline.functions.classes import class_label, class_of, recode_levels
 from trapline.functions.missing import text_or_na
 from trapline.functions.sphere import ring_area_m2, site_density
 from trapline.functions.text import popup_label
-from trapline.operators.choices import filter_in, filter_reported
+from trapline.operators.choices import filter_in
 from trapline.operators.joins import left_join_na, semi_join
+from trapline.operators.levels import levels_of, with_level_colour
 from trapline.operators.rollup import distinct_by, first_row_by
 from trapline.operators.spatial import (
     BROADCAST_BYTES,
-    STUDIES_PER_PAGE,
     join_points_in_regions,
+    region_studies,
     studies_by_region,
 )
 from trapline.plans.studies import selected_studies
@@ -40,22 +41,25 @@ def selected_site_layer(
     spatial: DataFrame,
     studies: DataFrame,
     positions: Sequence[int],
-    aims: Sequence[str],
+    aims: Sequence[str] | None = None,
     order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Sites of the studies selected in the table, coloured by aim."""
+    """Sites of the studies selected in the table, coloured by aim.
+
+    ``aims`` are the levels of the colours; by default those found in ``spatial``.
+    """
     chosen = selected_studies(studies, positions, order)
     label = popup_label(
         K.LABEL_STUDY, F.col("unique_id"), K.BREAK, F.col("trap_period"), K.BREAK,
         K.LABEL_VILLAGE, F.col("town_village"), K.BREAK, K.LABEL_NIGHTS, F.col("trap_nights"),
     )
-    return point_layer(
-        semi_join(spatial, chosen, ["unique_id"]),
-        K.LAYER_STUDIES,
-        recode_levels(F.col("aim"), aims, K.AIM_PALETTE),
-        K.STUDY_RADIUS,
-        label,
-    )
+    shown = semi_join(spatial, chosen, ["unique_id"])
+    colour = F.col("__colour")
+    if aims is None:
+        shown = with_level_colour(shown, "aim", levels_of(spatial, "aim"), K.AIM_PALETTE, "__colour")
+    else:
+        colour = recode_levels(F.col("aim"), aims, K.AIM_PALETTE)
+    return point_layer(shown, K.LAYER_STUDIES, colour, K.STUDY_RADIUS, label)
 
 
 def site_density_by_region(
@@ -64,42 +68,67 @@ def site_density_by_region(
     region_id: str = "region_id",
     group: str | None = None,
     breaks: Sequence[float] = K.DENSITY_BREAKS,
-    page_size: int = STUDIES_PER_PAGE,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Trap-site density of every region, with its class and the studies that trapped there.
+    """Trap-site density of every region, one row each, with its class and number of studies.
 
     Sites are counted per ``group``, by default the region id. Grouping by a name that several
-    regions share gives each of them the count of all. A region with more than ``page_size``
-    studies has one row per page of study ids.
+    regions share gives each of them the count of all.
     """
-    group = group or region_id
-    hits = join_points_in_regions(
-        sites.select("ord", "unique_id", "lon", "lat"), regions, region_id,
-        broadcast_bytes=broadcast_bytes,
-    )
-    if group != region_id:
-        hits = left_join_na(hits, regions.select(region_id, group), region_id)
-    counts = studies_by_region(hits, group, "unique_id", "ord", page_size)
+    seen = studies_in_regions(regions, sites, region_id, group, broadcast_bytes)
+    counts = studies_by_region(seen, group or region_id, "unique_id")
     density = site_density(F.col("n"), F.col("area_m2"))
     return (
-        left_join_na(regions, counts, group)
+        left_join_na(regions, counts, group or region_id)
         .withColumn("area_m2", ring_area_m2("ring"))
         .withColumn("sites_per_km2", density)
         .withColumn("density_class", class_of(F.col("sites_per_km2"), breaks))
     )
 
 
-def density_layer(density: DataFrame, breaks: Sequence[float] = K.DENSITY_BREAKS) -> DataFrame:
-    """Regions with sites, classed by density."""
-    label = popup_label(
-        F.col("name_2"), K.BREAK, K.LABEL_DENSITY, F.format_string("%.6f", F.col("sites_per_km2")),
-        K.BREAK, K.LABEL_REGION_STUDIES, F.col("studies"),
+def studies_in_regions(
+    regions: DataFrame,
+    sites: DataFrame,
+    region_id: str = "region_id",
+    group: str | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Sites and first place per (region, study); studies are counted before regions are named."""
+    hits = join_points_in_regions(
+        sites.select("ord", "unique_id", "lon", "lat"), regions, region_id,
+        broadcast_bytes=broadcast_bytes,
+    )
+    seen = region_studies(hits, region_id, "unique_id", "ord")
+    if group is None or group == region_id:
+        return seen
+    named = left_join_na(seen, regions.select(region_id, group), region_id)
+    return named.groupBy(group, "unique_id").agg(
+        F.sum("n").alias("n"), F.min("first_ord").alias("first_ord")
     )
+
+
+def density_layer(
+    density: DataFrame,
+    texts: DataFrame | None = None,
+    region_id: str = "region_id",
+    breaks: Sequence[float] = K.DENSITY_BREAKS,
+) -> DataFrame:
+    """Regions with a known study, classed by density.
+
+    ``texts`` holds the study ids (``studies``) of the regions whose labels are read; the labels of all
+    others stop before them.
+    """
+    shown = density.filter(F.col("n_known_studies") > 0)
+    studies = F.lit(None).cast("string")
+    if texts is not None:
+        shown, studies = left_join_na(shown, texts, region_id), F.col("studies")
+    value = F.format_string("%.6f", F.col("sites_per_km2"))
+    number = F.when(F.col("sites_per_km2").isNull(), K.MISSING_TEXT).otherwise(value)
+    head = popup_label(F.col("name_2"), K.BREAK, K.LABEL_DENSITY, number)
+    tail = F.concat(F.lit(K.BREAK), F.lit(K.LABEL_REGION_STUDIES), studies)
     return region_layer(
-        filter_reported(density, "studies"),
-        K.LAYER_DENSITY, "region_id", F.col("sites_per_km2"),
-        class_label(F.col("density_class"), breaks), label,
+        shown, K.LAYER_DENSITY, region_id, F.col("sites_per_km2"),
+        class_label(F.col("density_class"), breaks), F.concat(head, F.coalesce(tail, F.lit(""))),
     )
 
 

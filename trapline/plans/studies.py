@@ -64,10 +64,12 @@ def short_study_table(studies: DataFrame, page: int = 1, **page_options) -> Data
 def selected_studies(
     studies: DataFrame, positions: Sequence[int], order: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Ids of the studies at the selected table positions."""
-    return rows_at(
-        studies.select("unique_id"), order or ascending("unique_id"), positions, "position"
-    )
+    """Ids of the studies at the selected positions of the table as it is shown.
+
+    Ties of ``order`` go by the id, as on the pages of the table.
+    """
+    shown = [*(order or ()), *ascending("unique_id")]
+    return rows_at(studies, shown, positions, "position").select("unique_id", "position")
 
 
 def selected_studies_text(

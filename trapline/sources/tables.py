@@ -30,7 +30,12 @@ _DDL = {
     "town_village string, year_trapping bigint, month string",
     "level_0": f"gid_0 string, name_0 string, ring {_RING}",
     "level_2": f"region_id string, name_2 string, ring {_RING}",
+    # What site_density_by_region writes, to be drawn many times.
+    "level_2_sites": f"region_id string, name_2 string, ring {_RING}, n bigint, n_studies bigint, "
+    "n_known_studies bigint, area_m2 double, sites_per_km2 double, density_class int",
 }
+_DDL["species_prepared"] = _DDL["species"].replace("trap_nights bigint", "trap_nights string")
+_DDL["pathogen_prepared"] = _DDL["pathogen"]
 
 
 def table_schema(name: str) -> StructType:
@@ -64,18 +69,6 @@ def load_table(
     return conform(stored, schema, name)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than there are cores, by hash of ``key``.
-
-    A file with a single row group is read by one task, and so is everything up to the next
-    shuffle. Large tables have splits enough and are returned as they are, so what moves is at most
-    a few splits. Meant for a freshly loaded table: filters and column choices applied later still
-    reach the file.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def union_regions(frames: Iterable[DataFrame]) -> DataFrame:
     """Stack per-country region tables, matching columns by name."""
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.sources.tables import load_table
+from trapline.sources.tables import load_table, table_schema
+
+# Tables that are cleaned when they are taken in.
+PREPARED = {"species": prepare_species, "pathogen": prepare_pathogen}
 
 
 @dataclass(frozen=True)
@@ -24,12 +27,24 @@ class Survey:
     level_2: DataFrame
 
 
-def open_survey(spark: SparkSession, directory: str, suffix: str = ".parquet") -> Survey:
-    """Open every table of ``directory``, checking its columns."""
-    tables = {
-        name: load_table(spark, directory, name, suffix=suffix)
-        for name in Survey.__dataclass_fields__
-    }
-    tables["species"] = prepare_species(tables["species"])
-    tables["pathogen"] = prepare_pathogen(tables["pathogen"])
+def open_survey(
+    spark: SparkSession, directory: str, suffix: str = ".parquet", prepared: bool = False
+) -> Survey:
+    """Open every table of ``directory``, checking its columns.
+
+    Tables as they were recorded are cleaned row by row whenever they are read. Clean them once with
+    ``store_prepared`` and open those with ``prepared``: choices then reach the files.
+    """
+    tables = {}
+    for name in Survey.__dataclass_fields__:
+        kind = f"{name}_prepared" if prepared and name in PREPARED else name
+        tables[name] = load_table(spark, directory, name, table_schema(kind), suffix)
+    if not prepared:
+        tables |= {name: clean(tables[name]) for name, clean in PREPARED.items()}
     return Survey(**tables)
+
+
+def store_prepared(survey: Survey, directory: str, suffix: str = ".parquet") -> None:
+    """Write the cleaned tables of a survey, for ``open_survey(..., prepared=True)``."""
+    for name in Survey.__dataclass_fields__:
+        getattr(survey, name).write.parquet(f"{directory.rstrip('/')}/{name}{suffix}")
