@@ -156,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, sample: int = SAMPLE_RECORDS,
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(f"{base}/{name}")
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)
                     size += out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 size += out.write(press.compress(record(*row)))
                 count += 1
@@ -180,7 +180,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, base = _open(path)
-                with files.open_input_stream(base) as source:
+                with files.open_input_stream(base, compression=None) as source:
                     held, weight = [], 0
                     for data in _frames(source, []):
                         headers, block = parse(data)
