@@ -2,8 +2,8 @@
 
 Paragraphs (lines of at least 50 words) get MinHash signatures of their five-word shingles, cut into as many bands as a wanted recall
 needs. Distinct paragraphs that collide in a band are joined and compared by exact Jaccard similarity. In a crowded
-bucket they are first compared with one of them; then only those that are still in different components are compared with each
-other, so that a group of copies costs as many comparisons as members and no link is lost.
+bucket they are first compared with one of them; then only those that are still in different components, and have enough in common
+with other texts at all, are compared with each other. A group of copies costs as many comparisons as members, and no link is lost.
 
 A passage may also sit in the middle of a line. Of all ten-word sequences each document offers the one with the least hash in every eleven
 in a row, so that two documents that share twenty words share one. Sequences met in two documents are put
@@ -184,30 +184,46 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """``pid``, ``n`` (shingles) and ``m`` (those that another of the paragraphs has too) of every paragraph."""
+    table = sets.select(F.explode("shingles").alias("shingle"), "pid")
+    shared = _shared(table, "shingle", "pid").groupBy("pid").agg(F.count("*").alias("m"))
+    return sets.select("pid", F.size("shingles").cast("bigint").alias("n")).join(shared, "pid")
+
+
 def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``a``, ``b`` that connect distinct paragraphs exactly as all similar pairs that share a band would."""
+    """Links ``a``, ``b`` that connect distinct paragraphs exactly as all similar pairs that share a band would.
+
+    Two paragraphs have at most as many shingles in common as either shares with any other. Where that is too few for the
+    similarity, a pair need not be compared: copies with many changes of their own drop out before they meet. A bucket's centre is the
+    member with the fewest shingles of its own, which is the text that the others are copies of.
+    """
     table = paragraphs.select("pid", F.explode("bands").alias("value")).distinct()
-    members = settle(_shared(table, "value", "pid"))
-    wanted = members.select("pid").distinct()
+    met = settle(_shared(table, "value", "pid"))
+    wanted = met.select("pid").distinct()
     lines = _shingle_sets(docs).join(wanted, "pid", "left_semi").dropDuplicates(["pid"])
     sets = settle(_with_sets(lines.select("pid", "line")))
+    members = settle(met.join(_shared_counts(sets), "pid").filter(F.col("m") >= similarity * F.col("n")))
+    enough = f"least(m, other_m) * {1 + similarity!r} >= {similarity!r} * (n + other_n) and component <> other_component"
     links: DataFrame | None = None
     labelled = members.withColumn("component", F.col("pid"))
     for number in range(STAR_ROUNDS + 1):
         if number < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64("pid", F.lit(number)).alias("h"), "pid", "component")
-            centres = labelled.groupBy("value").agg(F.min(rank).alias("c"))
-            met = labelled.join(centres, "value").filter("component <> c.component").select("pid", F.col("c.pid").alias("other"))
+            rank = F.struct((F.col("n") - F.col("m")).alias("own"), F.xxhash64("pid", F.lit(number)).alias("h"), "pid", "component", "n", "m")
+            centres = labelled.groupBy("value").agg(F.min(rank).alias("c")).select(
+                "value", *[F.col(f"c.{c}").alias(f"other_{c}") for c in ("pid", "component", "n", "m")]
+            )
+            pairs = labelled.join(centres, "value").filter(enough)
         else:
-            other = labelled.select("value", F.col("pid").alias("other"), F.col("component").alias("other_component"))
-            met = labelled.join(other, "value").filter("pid < other and component <> other_component").select("pid", "other")
-        pairs = met.select(F.greatest("pid", "other").alias("a"), F.least("pid", "other").alias("b")).distinct()
+            others = labelled.select("value", *[F.col(c).alias(f"other_{c}") for c in ("pid", "component", "n", "m")])
+            pairs = labelled.join(others, "value").filter(f"pid < other_pid and {enough}")
+        pairs = pairs.select(F.greatest("pid", "other_pid").alias("a"), F.least("pid", "other_pid").alias("b")).distinct()
         found = settle(_similar(pairs, sets, similarity))
         links = found if links is None else links.unionByName(found)
         if number < STAR_ROUNDS:
             classes = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("root"))
             labelled = settle(
-                members.join(classes, "pid", "left").select("value", "pid", F.coalesce("root", "pid").alias("component"))
+                members.join(classes, "pid", "left").select("value", "pid", "n", "m", F.coalesce("root", "pid").alias("component"))
             )
     return links
 
