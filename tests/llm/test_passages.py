@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from trapline.llm.passages import band_values, bands_for, repeated_passages, shingles_of, similar_paragraphs, _paragraphs
+from trapline.llm.passages import ROWS_PER_BAND, band_values, bands_for, repeated_passages, shingles_of, similar_paragraphs, _paragraphs
 from trapline.llm.graph import connected_components
 
 
@@ -22,7 +22,7 @@ def repeats(data, length):
 
 
 def test_bands_meet_the_wanted_recall():
-    assert (1 - 0.8**4) ** bands_for() <= 1e-4
+    assert (1 - 0.8**ROWS_PER_BAND) ** bands_for() <= 1e-4
     pick = random.Random(1)
     hits = 0
     for _ in range(60):
@@ -32,12 +32,22 @@ def test_bands_meet_the_wanted_recall():
             copy[at] = "other"
         a, b = (shingles_of([w.encode() for w in t]) for t in (base, copy))
         if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
-            hits += bool((band_values(a, bands_for()) == band_values(b, bands_for())).any())
+            one, other = band_values(np.concatenate([a, b]), np.array([0, len(a)]), bands_for())
+            assert (band_values(b, np.array([0]), bands_for())[0] == other).all()
+            hits += bool((one == other).any())
         else:
             hits += 1
     assert hits == 60
 
 
+def test_signatures_of_very_long_texts():
+    random = np.random.default_rng(0)
+    parts = [random.integers(0, 2**63, n, np.uint64) for n in (50, 9_000, 10, 4_096, 3)]
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    together = band_values(np.concatenate(parts), starts, 7)
+    assert all((band_values(p, np.array([0]), 7)[0] == t).all() for p, t in zip(parts, together))
+
+
 def test_every_run_of_fifty_words_is_found_and_clean_documents_are_not(documents):
     pick = random.Random(5)
     data = [(i, " ".join(text(pick, pick.choice([20, 120, 400])))) for i in range(120)]

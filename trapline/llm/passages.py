@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from trapline.llm.graph import connected_components
 from trapline.session import settle
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
-ROWS_PER_BAND, MISSED = 4, 1e-4  # share of pairs at the similarity that no band may find
+ROWS_PER_BAND, MISSED = 3, 1e-4  # share of pairs at the similarity that no band may find
 SEQUENCE, EVERY = 10, 11
 MIN_STRETCH = MIN_WORDS - 2 * (EVERY - 1)  # words of a run of MIN_WORDS that its sequences cover at least
 STAR_ROUNDS = 2
+_AT_ONCE = 4_096  # shingles hashed at a time
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,21 +64,33 @@ def shingles_of(words: list[bytes]) -> np.ndarray:
     return np.unique(_sequences(_word_hashes(words), SHINGLE))
 
 
+@cache
 def _parameters(count: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(5)
     return random.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, count, np.uint64)
 
 
-def band_values(shingles: np.ndarray, bands: int, rows: int = ROWS_PER_BAND) -> np.ndarray:
-    """A 64-bit value per band of the MinHash signature."""
+def band_values(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int = ROWS_PER_BAND) -> np.ndarray:
+    """A 64-bit value per band of the MinHash signatures of texts, whose shingles begin at ``starts``."""
     factors, offsets = _parameters(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        least = np.minimum(least, (part[:, None] * factors + offsets).min(axis=0))
-    total = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        total = _mixed(total * _PRIME + column)
+    least = np.empty((len(starts), bands * rows), np.uint64)
+    ends = np.append(starts[1:], len(shingles))
+    first = 0
+    while first < len(starts):  # as many texts at a time as fit, at least one
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _AT_ONCE, "right")))
+        low, high = starts[first], ends[last - 1]
+        whole = None
+        for at in range(low, high, _AT_ONCE):
+            part = shingles[at : min(high, at + _AT_ONCE), None] * factors + offsets
+            if last - first > 1:
+                whole = np.minimum.reduceat(part, starts[first:last] - low)
+            else:
+                whole = part.min(axis=0, keepdims=True) if whole is None else np.minimum(whole, part.min(axis=0))
+        least[first:last] = whole
+        first = last
+    total = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(starts), 1))
+    for column in range(rows):
+        total = _mixed(total * _PRIME + least[:, column::rows])
     return total
 
 
@@ -115,8 +129,13 @@ def _paragraphs(docs: DataFrame, bands: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("pid", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def make(doc: int, text: bytes) -> Iterator[tuple]:
-        for start, words in _lines(text):
-            yield doc, start, len(words), _paragraph_id(words), band_values(shingles_of(words), bands).view(np.int64)
+        lines = list(_lines(text))
+        if lines:
+            sequences = [_sequences(_word_hashes(words), SHINGLE) for _, words in lines]
+            starts = np.cumsum([0, *map(len, sequences[:-1])])
+            values = band_values(np.concatenate(sequences), starts, bands).view(np.int64)
+            for (start, words), own in zip(lines, values):
+                yield doc, start, len(words), _paragraph_id(words), own
 
     return _mapped(docs, make, schema, "doc_id bigint, start int, n_words int, pid bigint, bands array<bigint>")
 
@@ -228,6 +247,23 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float
     return links
 
 
+def _apart(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for a place whose hash the one before has too, unless it is needed to reach ``EVERY`` places on.
+
+    A text that repeats a word offers a place every so often then, not every one.
+    """
+    keep = np.ones(len(places), bool)
+    if (hashes[1:] != hashes[:-1]).all():
+        return keep
+    last = 0
+    for at in range(1, len(places) - 1):
+        if hashes[at] == hashes[last] and places[at + 1] - places[last] <= EVERY:
+            keep[at] = False
+        else:
+            last = at
+    return keep
+
+
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_words``, ``sequence``, ``first``: sequences of every stretch that another document has too.
 
@@ -241,6 +277,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
             hashes = _sequences(_word_hashes(words), SEQUENCE)
             rows = np.lib.stride_tricks.sliding_window_view(hashes, min(EVERY, len(hashes)))
             places = np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
+            places = places[_apart(places, hashes[places])]
             yield from zip([doc] * len(places), places.tolist(), hashes[places].view(np.int64).tolist())
 
     offered = _mapped(docs, make, schema, "doc_id bigint, place int, sequence bigint")
