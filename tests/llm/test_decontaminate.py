@@ -22,7 +22,8 @@ def test_copies_new_parameters_and_clean_texts(spark, documents):
         (7, "words " * 30_000 + OTHER), (8, None), (9, ""), (None, ITEM), (1, f"Before it. {ITEM} And after it."), (10, OTHER[:30]),
     ]
     found = {(d, i) for d, i, _ in run(spark, documents, docs, [(1, ITEM), (2, OTHER), (3, None), (4, ""), (None, OTHER), (5, "a b c")])}
-    assert found == {(1, 1), (2, 1), (6, 2), (7, 2)} or found == {(1, 1), (2, 1), (4, 1), (6, 2), (7, 2)}
+    # Capitals hide which words are names (4), so half of the windows around them differ.
+    assert found == {(1, 1), (2, 1), (6, 2), (7, 2)}
 
 
 def test_placeholders_alone_match_nothing(spark, documents):
