@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate, mixing
+from trapline.llm import decontaminate, mixing, show_package
 from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
@@ -20,6 +20,7 @@ from trapline.session import shared_folder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    show_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
