@@ -33,6 +33,7 @@ SEQUENCE, EVERY = 10, 11
 MIN_STRETCH = MIN_WORDS - 2 * (EVERY - 1)  # words of a run of MIN_WORDS that its sequences cover at least
 STAR_ROUNDS = 2
 _AT_ONCE = 4_096  # shingles hashed at a time
+_BLOCK = 256  # expected members of a bucket that are compared with each other and with as many others at a time
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,25 +227,78 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame, similarity: float
     enough = f"least(m, other_m) * {1 + similarity!r} >= {similarity!r} * (n + other_n) and component <> other_component"
     links: DataFrame | None = None
     labelled = members.withColumn("component", F.col("pid"))
-    for number in range(STAR_ROUNDS + 1):
-        if number < STAR_ROUNDS:
-            rank = F.struct((F.col("n") - F.col("m")).alias("own"), F.xxhash64("pid", F.lit(number)).alias("h"), "pid", "component", "n", "m")
-            centres = labelled.groupBy("value").agg(F.min(rank).alias("c")).select(
-                "value", *[F.col(f"c.{c}").alias(f"other_{c}") for c in ("pid", "component", "n", "m")]
-            )
-            pairs = labelled.join(centres, "value").filter(enough)
-        else:
-            others = labelled.select("value", *[F.col(c).alias(f"other_{c}") for c in ("pid", "component", "n", "m")])
-            pairs = labelled.join(others, "value").filter(f"pid < other_pid and {enough}")
+    for number in range(STAR_ROUNDS):
+        rank = F.struct((F.col("n") - F.col("m")).alias("own"), F.xxhash64("pid", F.lit(number)).alias("h"), "pid", "component", "n", "m")
+        centres = labelled.groupBy("value").agg(F.min(rank).alias("c")).select(
+            "value", *[F.col(f"c.{c}").alias(f"other_{c}") for c in ("pid", "component", "n", "m")]
+        )
+        pairs = labelled.join(centres, "value").filter(enough)
         pairs = pairs.select(F.greatest("pid", "other_pid").alias("a"), F.least("pid", "other_pid").alias("b")).distinct()
         found = settle(_similar(pairs, sets, similarity))
         links = found if links is None else links.unionByName(found)
-        if number < STAR_ROUNDS:
-            classes = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("root"))
-            labelled = settle(
-                members.join(classes, "pid", "left").select("value", "pid", "n", "m", F.coalesce("root", "pid").alias("component"))
-            )
-    return links
+        classes = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("root"))
+        labelled = settle(
+            members.join(classes, "pid", "left").select("value", "pid", "n", "m", F.coalesce("root", "pid").alias("component"))
+        )
+    return links.unionByName(_links_left(labelled.select("value", "pid", "component"), sets, similarity))
+
+
+def _links_left(labelled: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components that still meet in a bucket, found without emitting pairs.
+
+    Buckets with a single component are done. The others are cut into blocks of bounded size, any two of a bucket meet in one
+    group, and a group yields a chain of links.
+    """
+    unsettled = _shared(labelled, "value", "component")
+    sizes = unsettled.groupBy("value").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    dealt = unsettled.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("pid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other"))
+    rows = dealt.select(group.alias("group"), "pid", "component").join(sets, "pid").select("group", "pid", "component", "shingles")
+
+    def compare(members: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        members = list({m[0]: m for m in members}.values())
+        pids, components = [m[0] for m in members], np.array([m[1] for m in members])
+        lengths = np.array([len(m[2]) for m in members])
+        known, back, times = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(len(members)), lengths), times[back] > 1
+        owner, back = owner[shared], back[shared]
+        common = np.zeros((len(members), len(members)), np.float32)
+        for at in range(0, len(known), _AT_ONCE):
+            inside = (back >= at) & (back < at + _AT_ONCE)
+            marks = np.zeros((len(members), _AT_ONCE), np.float32)
+            marks[owner[inside], back[inside] - at] = 1
+            common += marks @ marks.T
+        close = common >= similarity * (lengths[:, None] + lengths - common)
+        close |= components[:, None] == components
+        left = np.ones(len(members), bool)
+        while left.any():
+            queue = [int(np.argmax(left))]
+            left[queue[0]] = False
+            while queue:
+                near = queue.pop()
+                hits = np.flatnonzero(close[near] & left)
+                left[hits] = False
+                queue.extend(hits.tolist())
+                yield from ((pids[near], pids[hit]) for hit in hits if components[near] != components[hit])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            found = []
+            shingles = batch.column(3)
+            for at, (name, pid, component) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+                if name != key and held:
+                    found.extend(compare(held))
+                    held = []
+                key = name
+                held.append((pid, component, shingles[at].values.to_numpy()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+        if held and (found := list(compare(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return settle(rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a bigint, b bigint"))
 
 
 def _apart(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
