@@ -112,3 +112,16 @@ def test_repeated_rows_empty_tables_and_clashing_columns(documents):
     docs = documents([(1, line), (1, line), (2, line.upper())]).withColumns({"kind": F.lit(1), "start": F.lit("x"), "keep": F.lit("y")})
     rows = repeated_passages(docs).collect()
     assert {(r.doc_id, r.kind, r.keep) for r in rows} == {(1, "paragraph", True), (2, "paragraph", False), (1, "stretch", True), (2, "stretch", False)}
+
+
+def test_an_earlier_document_with_part_of_a_passage_hides_nothing(documents):
+    pick = random.Random(11)
+    for held in (20, 35):  # words of the passage's middle that the earlier document has
+        passage = text(pick, 55)
+        at = (55 - held) // 2
+        data = [(1, text(pick, 40) + passage[at : at + held] + text(pick, 40)), *((i, text(pick, 30) + passage + text(pick, 30)) for i in (5, 9))]
+        rows = repeated_passages(documents([(i, " ".join(words)) for i, words in data])).collect()
+        assert {5, 9} <= {r.doc_id for r in rows} and len({r.component_id for r in rows}) == 1, held
+        words = {(d, k): {w for r in rows if r.doc_id == d and r.keep == k for w in range(r.start, r.start + r.n_words)} for d in (5, 9) for k in (True, False)}
+        assert not words[9, True] and len(words[9, False]) >= 30 and words[5, True], held
+        assert held > 30 or words[5, True] == words[9, False], held

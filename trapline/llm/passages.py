@@ -319,9 +319,10 @@ def _apart(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_words``, ``sequence``, ``first``: sequences of every stretch that another document has too.
+    """``doc_id``, ``run``, ``start``, ``n_words``, ``sequence``, ``first``: sequences of every stretch that another document has too.
 
-    A stretch holds only sequences of which this document is the first (``first``), or only sequences that an earlier one has.
+    A stretch begins at ``run`` and goes on as long as sequences of any role do. It comes in parts (``start``, ``n_words``): those whose
+    sequences no earlier document has in a stretch (``first``), and those that one has.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("sequence", pa.int64())])
 
@@ -336,26 +337,54 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 
     offered = _mapped(docs, make, schema, "doc_id bigint, place int, sequence bigint")
     met = settle(_shared(offered, "sequence", "doc_id"))
-    firsts = met.groupBy("sequence").agg(F.min("doc_id").alias("least"))
-    roles = met.join(firsts, "sequence").select("doc_id", (F.col("doc_id") == F.col("least")).alias("first"), "place", "sequence")
 
-    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    def long_enough(columns: list[np.ndarray]) -> list[np.ndarray]:
+        doc, place, sequence = columns
+        starts, ends = _cut((np.diff(doc) != 0) | (np.diff(place) > EVERY))
+        kept = np.repeat(place[ends - 1] + SEQUENCE - place[starts] >= MIN_STRETCH, ends - starts)
+        return [c[kept] for c in (doc, np.repeat(place[starts], ends - starts), place, sequence)]
+
+    held = "doc_id bigint, run int, place int, sequence bigint"
+    first_pass = _by_document(met.select("doc_id", "place", "sequence"), ["place"], long_enough, held).drop("run")
+    # A sequence counts only if two stretches that are long enough have it.
+    long = settle(_by_document(_shared(first_pass, "sequence", "doc_id"), ["place"], long_enough, held))
+    firsts = long.groupBy("sequence").agg(F.min("doc_id").alias("least"))
+    roles = long.join(firsts, "sequence").select("doc_id", "run", "place", "sequence", (F.col("doc_id") == F.col("least")).cast("int").alias("first"))
+
+    def parts(columns: list[np.ndarray]) -> list[np.ndarray]:
+        doc, run, place, sequence, first = columns
+        whole = (np.diff(doc) != 0) | (np.diff(run) != 0)
+        starts, ends = _cut(whole | (np.diff(first) != 0))
+        stops = place[ends - 1] + SEQUENCE
+        inner = ~whole[starts[1:] - 1]
+        stops[:-1][inner] = np.maximum(stops[:-1], place[starts[1:]])[inner]  # no word between two parts is left out
+        sizes = ends - starts
+        return [doc, run, np.repeat(place[starts], sizes), np.repeat(stops - place[starts], sizes), sequence, first]
+
+    found = _by_document(roles, ["run", "place"], parts, "doc_id bigint, run int, start int, n_words int, sequence bigint, first int")
+    return found.withColumn("first", F.col("first") == 1)
+
 
-        def put(columns: list[np.ndarray]) -> pa.RecordBatch:
-            doc, first, place, sequence = columns
-            apart = (np.diff(doc) != 0) | (np.diff(first) != 0) | (np.diff(place) > EVERY)
-            cuts = np.flatnonzero(apart) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]])
-            sizes = place[ends - 1] + SEQUENCE - place[starts]
-            kept = np.repeat(sizes >= MIN_STRETCH, ends - starts)
-            arrays = (doc, np.repeat(place[starts], ends - starts), np.repeat(sizes, ends - starts), sequence, first.astype(bool))
-            return pa.RecordBatch.from_arrays([pa.array(a[kept]) for a in arrays], names=["doc_id", "start", "n_words", "sequence", "first"])
+def _cut(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero(apart) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(apart) + 1]])
 
+
+def _by_document(table: DataFrame, order: list[str], make: Callable[[list[np.ndarray]], list[np.ndarray]], ddl: str) -> DataFrame:
+    """What ``make`` gives for the columns of whole documents, sorted by ``doc_id`` (the first column) and ``order``."""
+    types = {"bigint": np.int64, "int": np.int32}
+    fields = [(name, types[kind]) for name, kind in (f.split() for f in ddl.split(", "))]
+    inputs = [types[kind] for _, kind in table.dtypes]
+
+    def put(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, (_, t) in zip(make(columns), fields)], names=[n for n, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not len(batch):
                 continue
-            held.append([c.to_numpy(zero_copy_only=False).astype(np.int32 if i in (1, 2) else np.int64) for i, c in enumerate(batch.columns)])
+            held.append([c.to_numpy(zero_copy_only=False).astype(t) for c, t in zip(batch.columns, inputs)])
             if held[-1][0][-1] != held[0][0][0]:
                 columns = [np.concatenate(c) for c in zip(*held)]
                 cut = int(np.searchsorted(columns[0], columns[0][-1]))
@@ -364,8 +393,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         if held:
             yield put([np.concatenate(c) for c in zip(*held)])
 
-    together = roles.repartition("doc_id").sortWithinPartitions("doc_id", "first", "place")
-    return together.mapInArrow(stretch, "doc_id bigint, start int, n_words int, sequence bigint, first boolean")
+    return table.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, ddl)
 
 
 def repeated_passages(
@@ -382,7 +410,7 @@ def repeated_passages(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.encode(F.lower(F.col(text)), "UTF-8").alias("text")
     )
     paragraphs = settle(_paragraphs(rows, bands_for(similarity)))
-    stretches = settle(repeated_stretches(rows).withColumn("stretch", F.xxhash64("doc_id", "start", "first")))
+    stretches = settle(repeated_stretches(rows).withColumn("stretch", F.xxhash64("doc_id", "run")))
     least = stretches.groupBy("sequence").agg(F.min("stretch").alias("b"))
     shared = stretches.join(least, "sequence").select(F.col("stretch").alias("a"), "b").distinct()
     links = similar_paragraphs(rows, paragraphs, similarity).unionByName(shared)
