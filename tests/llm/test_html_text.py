@@ -76,3 +76,15 @@ def test_odd_rows(spark):
     rows = sorted((r.page_id or 0, r.text, r.n_chars) for r in extract(df).collect())
     assert rows == [(0, "x", 1), (1, "", 0), (2, "é text", 6), (2, "é text", 6)]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "page-with-nav", "social-science", "search-result-page"])
+def test_layout_names_leave_the_article(name):
+    side = '<div class="sidebar"><p>Side text about things</p></div>'
+    assert main_text(f'<body><div class="{name}"><h1>Title</h1>{paragraphs(0, 3)}{side}</div><div class=footer>(c) 2020</div></body>') == blocks(0, 3)
+    assert main_text(f'<div class="{name}"><article><p>Hi.</p></article></div><div class="promo"><p>{SENTENCE % 1}</p></div>') == "Hi."
+
+
+def test_formulas_and_labels_stay():
+    html = f"<article><p>Let <math><mi>x</mi></math> be a <label>name</label>.</p>{paragraphs(0, 2)}</article>"
+    assert main_text(html) == "Let x be a name.\n\n" + blocks(0, 2, "")

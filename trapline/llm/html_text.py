@@ -2,7 +2,8 @@
 
 The density of a node is its characters per tag, lowered by the share of characters and tags in links. The node whose children
 have the largest sum of densities holds the article; the smallest density on the path from it to the body is the threshold
-that text elsewhere must reach to belong to it. Nodes that say themselves that they are no article are taken out first.
+that text elsewhere must reach to belong to it. Nodes that say themselves that they are no article are taken out first, unless
+they hold the page's only article, main element or title, or most of its text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BLOCK = frozenset(
 )
 # Elements that hold no article text.
 OUTSIDE = frozenset(
-    "head nav footer aside form button select option dialog menu object svg canvas audio video map math label".split()
+    "head nav footer aside form button select option dialog menu object svg canvas audio video map annotation annotation-xml".split()
 ) | RAW
 # Words in a class, id or role that mark such parts.
 OUTSIDE_NAMES = frozenset(
@@ -44,6 +45,9 @@ OUTSIDE_NAMES = frozenset(
     "notice notices alert newsletter subscribe subscription signup login popup modal overlay social share sharing related "
     "recommended recommendations widget pagination pager toolbar search contentinfo complementary".split()
 )
+# After one of these, a name tells of the layout around the text ("has-sidebar").
+LAYOUT_NAMES = frozenset("has no not with without".split())
+COMMENT_NAMES = frozenset(["comment", "comments"])
 # Only outside an article do these mark such parts.
 TOP_NAMES = frozenset(["header", "masthead", "topbar"])
 _CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -53,25 +57,70 @@ _SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td"
 class Node:
     """An element: its tag, its parts (elements and texts) and the counts of its subtree."""
 
-    __slots__ = ("tag", "parts", "parent", "outside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "outside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, outside: bool = False) -> None:
         self.tag, self.parent, self.outside, self.parts = tag, parent, outside, []
+        self.named = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_outside(tag: str, rest: str, node: Node) -> bool:
+def _names(rest: str) -> set[str]:
+    found: set[str] = set()
+    for _, value in _NAMED.findall(rest) if "=" in rest else ():
+        for token in value.split():
+            for word in map(str.lower, _WORD.findall(token)):
+                if word in LAYOUT_NAMES:
+                    break
+                found.add(word)
+    return found
+
+
+def _roles(tag: str, rest: str, node: Node) -> tuple[bool, bool]:
+    """Whether an element is outside the article for certain, and whether its names say that it is."""
     if tag in OUTSIDE:
-        return True
-    names = {w.lower() for _, v in _NAMED.findall(rest) for w in _WORD.findall(v)} if "=" in rest else set()
-    if names & OUTSIDE_NAMES or (rest and _HIDDEN.search(rest)):
-        return tag not in ("html", "body", "article", "main") or "comment" in names or "comments" in names
+        return True, False
+    names = _names(rest)
+    comment = bool(names & COMMENT_NAMES)
+    if rest and _HIDDEN.search(rest):
+        return tag not in ("html", "body", "article", "main") or comment, False
+    if names & OUTSIDE_NAMES:
+        return comment, not comment and tag not in ("html", "body", "article", "main")
     if tag == "header" or names & TOP_NAMES:
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
-        return node is None
-    return False
+        return node is None and tag == "header", node is None and tag != "header"
+    return False, False
+
+
+def _settle_names(root: Node) -> None:
+    """Take out the named nodes, but for those that hold the article: its element, its title or most of the text outside links.
+
+    The text decides only where no article or main element is elsewhere.
+    """
+    order, pending = [], [(root, False, False)]
+    marks = {"article": 2, "main": 2, "h1": 1}
+    elsewhere = 0  # best mark that no named node holds
+    while pending:
+        node, inside, link = pending.pop()
+        if node.outside:
+            continue
+        inside, link = inside or node.named, link or node.tag == "a"
+        if not inside:
+            elsewhere = max(elsewhere, marks.get(node.tag, 0))
+        order.append((node, link))
+        pending.extend((p, inside, link) for p in node.parts if not isinstance(p, str))
+    texts, best = {}, {}
+    for node, link in reversed(order):
+        inner = [p for p in node.parts if not isinstance(p, str) and not p.outside]
+        own = 0 if link else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        texts[node] = own + sum(texts[p] for p in inner)
+        best[node] = max(marks.get(node.tag, 0), *(best[p] for p in inner), 0)
+    for node, _ in order:
+        most = 2 * texts[node] > texts[root] and (best[node] == 2 or best[root] < 2)
+        if node.named and best[node] <= elsewhere and not most:
+            node.outside = True
 
 
 def _open_within(node: Node, tags: tuple[str, ...], stops: frozenset | tuple) -> Node | None:
@@ -90,7 +139,7 @@ def tree(html: str) -> Node:
     """Element tree of a page. Missing end tags close as browsers close them; what is cut off at the end is dropped."""
     node = root = Node("html", None)
     opened: Counter[str] = Counter()
-    at, last = 0, html.rfind(">")
+    at, last, named = 0, html.rfind(">"), False
 
     def close(down_to: Node) -> Node:
         inner = node
@@ -124,7 +173,10 @@ def tree(html: str) -> Node:
         same = _SAME.get(tag, (tag,))
         if tag in _CLOSED_BY and any(opened[t] for t in same) and (old := _open_within(node, same, _CLOSED_BY[tag])):
             node = close(old.parent)
-        child = Node(tag, node, tag == "hr" or tag not in VOID and _is_outside(tag, rest, node))
+        child = Node(tag, node, tag == "hr")
+        if tag not in VOID:
+            child.outside, child.named = _roles(tag, rest, node)
+            named |= child.named
         node.parts.append(child)
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(html, at)
@@ -134,6 +186,8 @@ def tree(html: str) -> Node:
             node = child
     if at < len(html):
         node.parts.append(html[at:])
+    if named:
+        _settle_names(root)
     return root
 
 
