@@ -1,0 +1,85 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from trapline.llm.negatives import hard_negatives
+from trapline.llm.queries import op13_negatives
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def plain(data, every=10, positives=5, negatives=10):
+    """The rule by the letter: all pairs, sorted."""
+    rows = {}
+    for vec_id, vector, label in data:
+        if vec_id is None or vector is None or label is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        rows[vec_id] = ([math.floor(256 * x) for x in vector], label)
+    out = []
+    for a, (v, label) in rows.items():
+        if a % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, other) for i, (w, other) in rows.items() if i != a and len(w) == len(v))
+        own = [(s, i) for s, i, other in scored if other == label][:positives]
+        for p, i in own:
+            fitting = [(n, j) for n, j, other in scored if other != label and 30 * -p <= 100 * -n <= 90 * -p]
+            out += [(a, i, rank, j, -p, -n) for rank, (n, j) in enumerate(fitting[:negatives], 1)]
+    return sorted(out)
+
+
+def mined(df, **options):
+    from pyspark.sql import functions as F
+
+    return sorted(tuple(r) for r in hard_negatives(df, F.col("vec_id") % 10 == 0, **options).collect())
+
+
+@pytest.mark.parametrize("seed, block_rows", [(1, 40), (2, 65_536)])
+def test_equals_all_pairs(spark, seed, block_rows):
+    pick = random.Random(seed)
+    data = [(i, [float(np.float32(pick.gauss(0.3, 0.4))) for _ in range(8)], pick.choice([0, 0, 0, 1, 2, 3])) for i in range(300)]
+    assert mined(spark.createDataFrame(data, SCHEMA).repartition(5), block_rows=block_rows) == plain(data)
+
+
+def test_ties_copies_and_hot_label(spark):
+    pick = random.Random(3)
+    shapes = [[1.0, 0.5], [0.5, 0.5], [0.25, 0.0], [0.0, 0.0], [-1.0, 0.25], [0.875, 0.5]]
+    data = [(i, pick.choice(shapes), 0 if pick.random() < 0.8 else pick.randrange(1, 3)) for i in range(200)]
+    assert mined(spark.createDataFrame(data + data[:50], SCHEMA).repartition(3), block_rows=30) == plain(data)
+
+
+def test_zero_scores_open_their_window(spark):
+    data = [(0, [0.0], 1), (1, [1.0], 2), (2, [1.0], 1), (3, [-1.0], 2)]
+    expected = [(0, 2, 1, 1, 0, 0), (0, 2, 2, 3, 0, 0)]
+    assert mined(spark.createDataFrame(data, SCHEMA)) == expected == plain(data)
+
+
+def test_rows_that_take_no_part(spark):
+    data = [
+        (0, [1.0, 1.0], 1), (1, [0.9, 1.0], 1), (2, [0.5, 0.5], 2), (3, None, 2), (4, [0.5, None], 2), (5, [0.5, float("nan")], 2),
+        (6, [0.5, float("inf")], 2), (7, [0.5, 0.5], None), (None, [0.5, 0.5], 2), (8, [0.5], 2), (9, [], 2), (10, [], 2), (11, [], 2), (12, [], 1),
+    ]
+    found = mined(spark.createDataFrame(data, SCHEMA))
+    assert found == plain(data)
+    assert (0, 1, 1, 2, 256 * 230 + 256 * 256, 256 * 256) in found and any(r[0] == 10 for r in found)
+
+
+def test_large_components_stay_exact(spark):
+    data = [(0, [3e6, 1.0], 1), (1, [3e6, 0.5], 1), (2, [1.5e6, 0.7], 2), (3, [2.6e6, 0.3], 2), (4, [1e30, 1.0], 2)]
+    wide = "vec_id bigint, embedding array<double>, label int"
+    assert mined(spark.createDataFrame(data, wide)) == plain(data[:4])
+
+
+def test_empty_and_extra_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mined(empty) == []
+    data = [(0, [1.0], 1, "a", 1), (1, [1.0], 1, "b", 2), (2, [0.5], 2, "c", 3)]
+    assert mined(spark.createDataFrame(data, SCHEMA + ", score string, block int")) == [(0, 1, 1, 2, 65536, 32768)]
+
+
+def test_query_moves_labels_first(spark, small_dir):
+    data = []
+    for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").collect():
+        data.append((r.vec_id, list(r.embedding), (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label))
+    assert sorted(tuple(r) for r in op13_negatives(spark, small_dir).collect()) == plain(data, every=100)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate, mixing, show_package
+from trapline.llm import decontaminate, mixing, negatives, show_package
 from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
+from trapline.llm.negatives import hard_negatives
 from trapline.llm.passages import repeated_passages
 from trapline.llm.pii import BASE_KINDS, detect, span_text
 from trapline.llm.simhash import near_duplicates
@@ -90,6 +91,13 @@ def op10_passages(spark: SparkSession, directory: str) -> DataFrame:
     return repeated_passages(_table(spark, directory, "documents"))
 
 
+def op13_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row's label is moved on by one first."""
+    vectors = _table(spark, directory, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -101,5 +109,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_passages": op10_passages,
+    "op13_negatives": op13_negatives,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL, "op13_negatives": negatives.SQL}
