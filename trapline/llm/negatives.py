@@ -256,9 +256,9 @@ def hard_negatives(
 
 SQL = """
 with q as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-  list_transform(embedding, x -> floor(256 * cast(x as double))) as v
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
  from embeddings where label is not null and embedding is not null
-  and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
  from q a join q b on a.vec_id <> b.vec_id and a.vec_id % 100 = 0),
 p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
