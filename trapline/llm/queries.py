@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate, mixing, negatives, show_package
+from trapline.llm import decontaminate, mixing, negatives, prefixes, show_package
 from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
@@ -91,6 +91,11 @@ def op10_passages(spark: SparkSession, directory: str) -> DataFrame:
     return repeated_passages(_table(spark, directory, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, directory: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt with the openings of every hundredth one."""
+    return prefixes.prefix_trie(prefixes.with_shared_openings(_table(spark, directory, "conversations")))
+
+
 def op13_negatives(spark: SparkSession, directory: str) -> DataFrame:
     """Hard negatives of every hundredth vector; every seventh row's label is moved on by one first."""
     vectors = _table(spark, directory, "embeddings")
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_passages": op10_passages,
+    "op11_prefixes": op11_prefixes,
     "op13_negatives": op13_negatives,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL, "op13_negatives": negatives.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL, "op11_prefixes": prefixes.SQL, "op13_negatives": negatives.SQL}
