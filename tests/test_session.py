@@ -3,7 +3,7 @@ import os
 import pytest
 
 from trapline.operators.levels import levels_of, with_level_colour
-from trapline.session import release, settle, shared_folder
+from trapline.session import release, settle, settle_by, shared_folder
 
 
 def test_settled_rows_are_stored_once_and_released(spark):
@@ -23,6 +23,19 @@ def test_settled_rows_are_stored_once_and_released(spark):
     assert not os.path.exists(folder)
 
 
+def test_joins_on_rows_stored_by_key_do_not_move_them(spark):
+    stored = settle_by(spark.range(0, 500, 1, 4).selectExpr("id", "repeat('x', 1000) as text"), "id")
+    small = spark.range(0, 900, 3, 2).hint("shuffle_hash")
+    joined = stored.join(small, "id")
+    assert sorted(r.id for r in joined.collect()) == list(range(0, 500, 3))
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    folder = f"{shared_folder(spark).removeprefix('file://')}/trapline-{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder) and not spark.catalog.listTables()
+
+
 def test_no_shared_folder_is_an_error():
     class Session:
         conf = {}
