@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate, mixing, negatives, prefixes, show_package
+from trapline.llm import decontaminate, mixing, negatives, prefixes, repeats, show_package
 from trapline.llm.ann import nearest
 from trapline.llm.html_text import extract
 from trapline.llm.langid import fit, held_out, identify
@@ -96,6 +96,11 @@ def op11_prefixes(spark: SparkSession, directory: str) -> DataFrame:
     return prefixes.prefix_trie(prefixes.with_shared_openings(_table(spark, directory, "conversations")))
 
 
+def op12_repeats(spark: SparkSession, directory: str) -> DataFrame:
+    """What strings of 400 bytes that start twice cover in every document."""
+    return repeats.remove_repeats(_table(spark, directory, "documents"), with_text=False).drop("spans")
+
+
 def op13_negatives(spark: SparkSession, directory: str) -> DataFrame:
     """Hard negatives of every hundredth vector; every seventh row's label is moved on by one first."""
     vectors = _table(spark, directory, "embeddings")
@@ -115,6 +120,13 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_passages": op10_passages,
     "op11_prefixes": op11_prefixes,
+    "op12_repeats": op12_repeats,
     "op13_negatives": op13_negatives,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_decontaminate": decontaminate.SQL, "op11_prefixes": prefixes.SQL, "op13_negatives": negatives.SQL}
+SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
+    "op5_decontaminate": decontaminate.SQL,
+    "op11_prefixes": prefixes.SQL,
+    "op12_repeats": repeats.SQL,
+    "op13_negatives": negatives.SQL,
+}
