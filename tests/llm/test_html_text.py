@@ -1,10 +1,12 @@
+import math
+import random
 import re
 from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
-from trapline.llm.html_text import extract, main_text
+from trapline.llm.html_text import _content, extract, main_text, tree
 
 SENTENCE = "Some long enough sentence of the article that goes on, with commas and words, number %d of many."
 
@@ -88,3 +90,102 @@ def test_layout_names_leave_the_article(name):
 def test_formulas_and_labels_stay():
     html = f"<article><p>Let <math><mi>x</mi></math> be a <label>name</label>.</p>{paragraphs(0, 2)}</article>"
     assert main_text(html) == "Let x be a name.\n\n" + blocks(0, 2, "")
+
+
+WHOLE = f"<h1>Title</h1>{paragraphs(0, 3)}"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body><form method=post><input name=a><div><article>{WHOLE}</article></div></form></body>',
+        f'<body><form id=aspnetForm><div class=page><div>{WHOLE}</div></div><select><option>x</select></form></body>',
+        f'<body><div data-title="The hidden cost of tea"><article>{WHOLE}</article></div></body>',
+        f"<body><div class='prose hidden md:block'>{WHOLE}</div><p class=x>x</p></body>".replace("<p class=x>x</p>", ""),
+        f'<article><h1>Title</h1><section aria-label="A hidden gem in town">{paragraphs(0, 3)}</section></article>',
+        f'<article><h1 id="social">Title</h1><section id="related-work">{paragraphs(0, 3)}</section></article>',
+        f'<article>{WHOLE}</article><ol class="commentlist"><li>{SENTENCE % 7}</li></ol>',
+        f'<article>{WHOLE}</article><div class="userComments"><p>{SENTENCE % 7}</p></div>',
+        f"<article>{WHOLE}</article><div>Copyright 2024 by the people who made this. All rights reserved.</div>",
+        f"<article><!-- a --!>{WHOLE}</article>",
+        f"<article><!-->{WHOLE}<!---></article>",
+        f"<article><h1 title=it's>Title</h1>{paragraphs(0, 3)}</article>",
+        f'<article>{WHOLE}<div style="display: none">x</div><p hidden>y</p><p aria-hidden="true">z</p></article>',
+        f'<article>{WHOLE}<form><p>sign up please</p><input></form><div id="comments"><p>{SENTENCE % 7}</p></div></article>',
+    ],
+)
+def test_articles_stay_whole(html):
+    assert main_text(html) == blocks(0, 3)
+
+
+def test_anchors_inside_an_article_are_no_roles():
+    html = f'<article><h1>Title</h1><h2 id="comment-on-method">Comment</h2><p id="search">{SENTENCE % 0}</p><h2 id="social-science">Science</h2></article>'
+    assert main_text(html) == f"Title\n\nComment\n\n{SENTENCE % 0}\n\nScience"
+
+
+def naive_text(node, whole=None):
+    """Density selection by its definition: every count taken anew from the subtree, on trees without names."""
+    def chars(n):
+        return sum(len(" ".join(p.split())) if isinstance(p, str) else chars(p) for p in n.parts)
+
+    def tags(n):
+        return sum(0 if isinstance(p, str) else 1 + tags(p) for p in n.parts)
+
+    def links(n):
+        if n.tag == "a":
+            return chars(n), tags(n) + 1
+        inner = [links(p) for p in n.parts if not isinstance(p, str)]
+        return sum(c for c, _ in inner), sum(t for _, t in inner)
+
+    body = links(node)[0] / max(chars(node), 1)
+
+    def density(n):
+        c, t, (lc, lt) = chars(n), max(tags(n), 1), links(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
+        value = math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0))
+        return c / t * value / math.log(base) if base > 1 + 1e-9 else c / t * value
+
+    def total(n):
+        return sum(len(" ".join(p.split())) if isinstance(p, str) else density(p) for p in n.parts)
+
+    def nodes(n):
+        yield n
+        for p in n.parts:
+            if not isinstance(p, str):
+                yield from nodes(p)
+
+    best = max(nodes(node), key=total)
+    path = [n for n in nodes(node) if any(m is best for m in nodes(n))]
+    threshold = min(map(density, path))
+
+    def pick(n):
+        if n is best or n not in path and n.tag in ("div", "p") and chars(n) and density(n) >= threshold > 0:
+            return [n]
+        return [m for p in n.parts if not isinstance(p, str) for m in pick(p)]
+
+    return [" ".join("".join(t for t in flat(n)).split()) for n in pick(node)]
+
+
+def flat(n):
+    for p in n.parts:
+        if isinstance(p, str):
+            yield p
+        else:
+            yield from flat(p)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_density_selection_by_its_definition(seed):
+    pick = random.Random(seed)
+
+    def grow(depth):
+        if depth == 0 or pick.random() < 0.3:
+            words = " ".join("w" * pick.randrange(1, 9) + str(pick.randrange(10**6)) for _ in range(pick.choice([1, 3, 12, 40])))
+            return pick.choice([f"<p>{words}</p>", f"<p>{words} <a href=x>{words[:20]}</a></p>", f"<a href=y>{words[:15]}</a>"])
+        return f"<div>{''.join(grow(depth - 1) for _ in range(pick.randrange(1, 5)))}</div>"
+
+    html = "<body>" + "".join(grow(4) for _ in range(3)) + "</body>"
+    found = [" ".join("".join(flat(n)).split()) for n in _content(tree(html))]
+    assert found == naive_text(tree(html))

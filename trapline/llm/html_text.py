@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)  # a line of a page's foot
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +37,7 @@ BLOCK = frozenset(
 )
 # Elements that hold no article text.
 OUTSIDE = frozenset(
-    "head nav footer aside form button select option dialog menu object svg canvas audio video map annotation annotation-xml".split()
+    "head nav footer aside button select option dialog menu object svg canvas audio video map annotation annotation-xml".split()
 ) | RAW
 # Words in a class, id or role that mark such parts.
 OUTSIDE_NAMES = frozenset(
@@ -47,7 +48,10 @@ OUTSIDE_NAMES = frozenset(
 )
 # After one of these, a name tells of the layout around the text ("has-sidebar").
 LAYOUT_NAMES = frozenset("has no not with without".split())
-COMMENT_NAMES = frozenset(["comment", "comments"])
+_COMMENTS = re.compile(r"[a-z]*comments|comment(?:list|area|box|form|section|thread|body|wrap|wrapper|container)?")
+# Inside an article these carry an id as an anchor, not as a role.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd a span figure figcaption blockquote pre table tr td th".split())
+RIGHTS_CHARS = 300  # a notice of rights is no longer than this
 # Only outside an article do these mark such parts.
 TOP_NAMES = frozenset(["header", "masthead", "topbar"])
 _CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -66,14 +70,30 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _names(rest: str) -> set[str]:
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
+    return found
+
+
+def _words(value: str) -> set[str]:
     found: set[str] = set()
-    for _, value in _NAMED.findall(rest) if "=" in rest else ():
-        for token in value.split():
-            for word in map(str.lower, _WORD.findall(token)):
-                if word in LAYOUT_NAMES:
-                    break
-                found.add(word)
+    for token in value.split():
+        for word in map(str.lower, _WORD.findall(token)):
+            if word in LAYOUT_NAMES:
+                break
+            found.add(word)
+    return found
+
+
+def _names(tag: str, attributes: dict[str, str], inside: bool) -> set[str]:
+    """Words of class, role and id. Inside an article an id of several words, or of a heading or paragraph, is an anchor."""
+    found = _words(attributes.get("class", "")) | _words(attributes.get("role", ""))
+    own = attributes.get("id", "")
+    if own and not (inside and (tag in ANCHORED or len(_WORD.findall(own)) > 1)):
+        found |= _words(own)
     return found
 
 
@@ -81,17 +101,21 @@ def _roles(tag: str, rest: str, node: Node) -> tuple[bool, bool]:
     """Whether an element is outside the article for certain, and whether its names say that it is."""
     if tag in OUTSIDE:
         return True, False
-    names = _names(rest)
-    comment = bool(names & COMMENT_NAMES)
-    if rest and _HIDDEN.search(rest):
+    attributes = _attributes(rest) if rest and not rest.isspace() else {}
+    named = any(a in attributes for a in ("class", "role", "id"))
+    if named or tag == "header":
+        while node is not None and node.tag not in ("article", "main"):
+            node = node.parent
+    names = _names(tag, attributes, node is not None) if named else frozenset()
+    comment = any(map(_COMMENTS.fullmatch, names))
+    unseen = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attributes.get("style", ""))
+    if unseen:
         return tag not in ("html", "body", "article", "main") or comment, False
-    if names & OUTSIDE_NAMES:
+    if comment or names & OUTSIDE_NAMES:
         return comment, not comment and tag not in ("html", "body", "article", "main")
     if tag == "header" or names & TOP_NAMES:
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
         return node is None and tag == "header", node is None and tag != "header"
-    return False, False
+    return False, tag == "form"  # controls are left out by themselves
 
 
 def _settle_names(root: Node) -> None:
@@ -166,7 +190,7 @@ def tree(html: str) -> Node:
             node = close(found.parent) if found else node
             continue
         if tag in ("html", "body") and node.parent is None:
-            root.outside |= bool(_HIDDEN.search(rest))
+            root.outside |= _roles("html", rest, root)[0] or "hidden" in _attributes(rest)
             continue
         if tag in BLOCK and opened["p"] and (p := _open_within(node, ("p",), _P_STOPS)) is not None:
             node = close(p.parent)
@@ -225,6 +249,18 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _text(node: Node) -> str:
+    """Text of a subtree on one line."""
+    found, pending = [], [node]
+    while pending:
+        part = pending.pop()
+        if isinstance(part, str):
+            found.append(unescape(part))
+        else:
+            pending.extend(reversed(part.parts))
+    return " ".join(" ".join(found).split())
+
+
 def _content(root: Node) -> list[Node]:
     """Nodes that make up the article, in page order, none inside another."""
     order = _measure(root)
@@ -239,6 +275,8 @@ def _content(root: Node) -> list[Node]:
     while pending:
         node = pending.pop()
         heading = node.tag == "h1" or node.density >= threshold > 0 and node not in path and node.tag in BLOCK
+        if heading and node is not holder and node.chars <= RIGHTS_CHARS and _RIGHTS.search(_text(node)):
+            continue
         if node is holder or heading and node.chars:
             marked.append(node)
             continue
