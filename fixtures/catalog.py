@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtures.views import Survey, sentence, total, with_views
+from fixtures.views import POLAR_POINT, Survey, moved, moved_rings, sentence, total, with_views
 from trapline import constants as K
 from trapline.functions.classes import class_of
 from trapline.functions.missing import ascending, n_distinct_or_missing
@@ -44,11 +44,16 @@ from trapline.operators.levels import levels_of, with_level_colour
 from trapline.operators.spatial import (
     join_points_in_regions,
     region_studies_text,
+    region_study_chunks,
+    region_study_places,
     sites_by_region,
     studies_by_region,
 )
 from trapline.plans import associations, microbes, sites, species, studies
 from trapline.session import shared_folder
+from trapline.sources.borders import load_borders, write_borders
+from trapline.sources.paging import PagedTable, open_pages, store_pages
+from trapline.sources.rollups import append_rollup, compact_rollup, open_rollup, store_rollup
 from trapline.sources.tables import load_regions, load_table, union_regions, with_lon_lat
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +198,49 @@ def _(s: Survey) -> DataFrame:
     )
 
 
+def _paged_studies(s: Survey) -> PagedTable:
+    """The study table stored in the order of the years, in folders of 2,000 rows."""
+    spark = s.studies.sparkSession
+    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    store_pages(_study_columns(s), folder, "unique_id", [F.col("year_published").desc_nulls_last()], 2_000)
+    return open_pages(spark, folder, 2_000)
+
+
+_PAGE_ORDER = "order by year_published desc nulls last, unique_id"
+
+
+@check("stored_page_deep_in_the_table", f"select {_STUDY_COLUMNS} from fx_studies {_PAGE_ORDER} limit 10 offset 13995")
+def _(s: Survey) -> DataFrame:
+    return _paged_studies(s).page(offset=13_995, limit=10)
+
+
+@check(
+    "stored_page_of_a_search",
+    f"""
+select {_STUDY_COLUMNS} from fx_studies where contains(lower(aim), 'zoo') and year_published between 1993 and 1997
+ and contains(lower(concat_ws(' ', {_STUDY_COLUMNS})), 'customer_1') and contains(lower(concat_ws(' ', {_STUDY_COLUMNS})), '7')
+{_PAGE_ORDER} limit 15 offset 15""",
+)
+def _(s: Survey) -> DataFrame:
+    return _paged_studies(s).page({"aim": "zoo", "year_published": (1993, 1997)}, "Customer_1 7", offset=15, limit=15)
+
+
+@check(
+    "stored_rows_of_a_search",
+    f"select {_STUDY_COLUMNS} from fx_studies where contains(lower(concat_ws(' ', {_STUDY_COLUMNS})), 'customer_123')",
+)
+def _(s: Survey) -> DataFrame:
+    return _paged_studies(s).matches(search="CUSTOMER_123").select(*_STUDY_COLUMNS.split(", "))
+
+
+@check(
+    "stored_rows_by_position",
+    f"select * from (select {_STUDY_COLUMNS}, row_number() over ({_PAGE_ORDER}) as position from fx_studies) where position in (1, 2000, 2001, 9999)",
+)
+def _(s: Survey) -> DataFrame:
+    return _paged_studies(s).at([1, 2_000, 2_001, 9_999, 0])
+
+
 _BY_YEAR = """
 with n as (select unique_id, row_number() over (order by year_published desc nulls last, unique_id nulls last) as position from fx_studies)"""
 
@@ -307,16 +355,32 @@ def _(s: Survey) -> DataFrame:
     return sites.selected_site_layer(s.spatial, s.studies, STUDY_ROWS, order=order)
 
 
-_CROSSES = """(e.y1 > p.lat) <> (e.y2 > p.lat)
-  and p.lon < case when e.y1 = e.y2 then 0 else (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 end"""
-
 _T1, _T2 = "tan(radians(y1) / 2)", "tan(radians(y2) / 2)"
 
 
+def _unit(x: str, y: str) -> tuple[str, str, str]:
+    x, y = f"radians({x})", f"radians({y})"
+    return f"(cos({y}) * cos({x}))", f"(cos({y}) * sin({x}))", f"sin({y})"
+
+
+def _normals(edges: str) -> str:
+    """Edges with the normal of the plane through the earth's centre and both ends."""
+    (a1, a2, a3), (b1, b2, b3) = _unit("x1", "y1"), _unit("x2", "y2")
+    return f"""(select *, {a2} * {b3} - {a3} * {b2} as n1, {a3} * {b1} - {a1} * {b3} as n2, {a1} * {b2} - {a2} * {b1} as n3
+ from {edges})"""
+
+
+def _vectors(points: str) -> str:
+    p1, p2, p3 = _unit("lon", "lat")
+    return f"(select *, {p1} as p1, {p2} as p2, {p3} as p3 from {points})"
+
+
 def _hits(edges: str) -> str:
+    """Sites with an odd number of great-circle edges north of them."""
     return f"""
-hits as (select p.ord, p.unique_id, p.lon, p.lat, e.region_id from fx_spatial p join {edges} e
- on {_CROSSES} group by all having count(*) % 2 = 1)"""
+hits as (select p.ord, p.unique_id, p.lon, p.lat, e.region_id from {_vectors('fx_spatial')} p join {_normals(edges)} e
+ on (e.x1 > p.lon) <> (e.x2 > p.lon) and (e.n1 * p.p1 + e.n2 * p.p2 + e.n3 * p.p3 < 0) = (e.x2 > e.x1)
+ group by all having count(*) % 2 = 1)"""
 
 
 def _areas(edges: str) -> str:
@@ -381,9 +445,6 @@ def _(s: Survey) -> DataFrame:
     return rounded(density, area_m2=0, sites_per_km2=9)
 
 
-_READ_REGIONS = [0, 7, 12]  # regions whose labels are read
-
-
 @check(
     "density_layer",
     _density("region_id") + f"""
@@ -392,13 +453,12 @@ select region_id as region, round(d, 9) as value,
   when d < 0.01 then '0.005 to 0.010' when d < 0.05 then '0.010 to 0.050'
   when d < 1 then '0.050 to 1.000' when d <= 6 then '1.000 to 6.000' end as class,
  name_2 || '<br>Site density: ' || printf('%.6f', d) || coalesce('<br>Studies trapping here: ' || studies, '') as label,
- 'Trap density map' as layer from dens left join (select * from {_study_texts('region_id')}
-  where region_id in ({', '.join(map(str, _READ_REGIONS))})) using (region_id) where n_known_studies > 0""",
+ 'Trap density map' as layer from dens left join {_study_texts('region_id')} using (region_id) where n_known_studies > 0""",
 )
 def _(s: Survey) -> DataFrame:
     density = sites.site_density_by_region(s.level_2, s.spatial)
     seen = sites.studies_in_regions(s.level_2, s.spatial)
-    texts = region_studies_text(seen, "region_id", "unique_id", _READ_REGIONS)
+    texts = region_studies_text(seen, "region_id", "unique_id")
     return rounded(sites.density_layer(density, texts).drop("ring"), value=9)
 
 
@@ -453,11 +513,20 @@ def _(s: Survey) -> DataFrame:
 @check(
     "region_studies_text",
     f"""
-with {_HITS}, {_AREAS}, {_per_region('region_id')} select * from {_study_texts('region_id')}
-where region_id in ({', '.join(map(str, _READ_REGIONS))})""",
+with {_HITS}, {_AREAS}, {_per_region('region_id')} select * from {_study_texts('region_id')}""",
 )
 def _(s: Survey) -> DataFrame:
-    return region_studies_text(_seen(s), "region_id", "unique_id", _READ_REGIONS)
+    return region_studies_text(_seen(s), "region_id", "unique_id")
+
+
+@check(
+    "region_study_places",
+    f"""
+with {_HITS} select region_id, row_number() over (partition by region_id order by min(ord), unique_id nulls last) as place, unique_id
+from hits group by region_id, unique_id""",
+)
+def _(s: Survey) -> DataFrame:
+    return region_study_places(_seen(s), "region_id", "unique_id")
 
 
 # One region with a study per site: thousands of studies at any scale.
@@ -475,12 +544,14 @@ def _(s: Survey) -> DataFrame:
 
 @check(
     "studies_text_of_a_crowded_region",
-    f"select region_id, string_agg(cast(ord as varchar), ', ' order by ord) as studies from ({_ALL_SITES}) group by 1",
+    f"""
+select region_id, cast(floor((place - 1) / 1000) as bigint) as chunk, string_agg(cast(ord as varchar), ', ' order by ord) as studies
+from (select *, row_number() over (order by ord) as place from ({_ALL_SITES})) group by 1, 2""",
 )
 def _(s: Survey) -> DataFrame:
     crowded = s.spatial.withColumn("unique_id", F.col("ord"))
-    seen = sites.studies_in_regions(s.whole, crowded)
-    return region_studies_text(seen, "region_id", "unique_id", ["AFRICA"])
+    places = region_study_places(sites.studies_in_regions(s.whole, crowded), "region_id", "unique_id")
+    return region_study_chunks(places, "region_id", "unique_id")
 
 
 def _holed_areas(edges: str) -> str:
@@ -501,6 +572,49 @@ def _(s: Survey) -> DataFrame:
     return rounded(density, area_m2=0, sites_per_km2=9)
 
 
+# Regions as wide as the survey area: their edges run well off the straight lines of the map.
+@check("points_in_wide_regions", f"with {_hits('fx_wide_edges')} select ord, lon, lat, region_id from hits")
+def _(s: Survey) -> DataFrame:
+    return join_points_in_regions(s.spatial.select("ord", "lon", "lat"), s.wide, "region_id")
+
+
+@check("site_density_of_wide_regions", _density_rows("region_id", "fx_wide_edges"))
+def _(s: Survey) -> DataFrame:
+    density = sites.site_density_by_region(s.wide, s.spatial).drop("ring")
+    return rounded(density, area_m2=0, sites_per_km2=9)
+
+
+# Districts and sites moved east until the date line runs through them: counts and areas stay.
+@check("site_density_across_the_date_line", _density_rows("region_id", "fx_district_edges"))
+def _(s: Survey) -> DataFrame:
+    density = sites.site_density_by_region(moved_rings(s.districts), s.spatial.withColumn("lon", moved(F.col("lon")))).drop("ring", "gid_0")
+    return rounded(density, area_m2=0, sites_per_km2=9)
+
+
+_POLAR_SITES = f"(select ord, unique_id, {POLAR_POINT} from fx_spatial)"
+_HALF = "tan(radians(90 - abs(lat)) / 2)"
+
+
+# Caps round both poles. A site is in a cap if it is on the pole's side of every edge; a cap is made of triangles that meet in its pole.
+@check(
+    "site_density_around_the_poles",
+    f"""
+with out as (select p.ord, e.region_id from {_vectors(_POLAR_SITES)} p join {_normals('fx_polar_edges')} e
+  on e.n1 * p.p1 + e.n2 * p.p2 + e.n3 * p.p3 < 0),
+ hits as (select p.ord, p.unique_id, r.region_id from {_POLAR_SITES} p cross join (select distinct region_id from fx_polar_edges) r
+  where not exists (select 1 from out o where o.ord = p.ord and o.region_id = r.region_id)),
+ areas as (select region_id, name_2, sum(2 * atan2({_HALF} * {_HALF} * sin(radians(30)), 1 + {_HALF} * {_HALF} * cos(radians(30))))
+   * {EARTH_RADIUS_M} * {EARTH_RADIUS_M} as area_m2 from (select region_id, name_2, y1 as lat from fx_polar_edges) group by 1, 2),
+ {_per_region('region_id')},
+ dens as (select a.*, c.n, c.n_studies, c.n_known_studies, c.n / (a.area_m2 / 1000000.0) as d from areas a left join counts c using (region_id))
+select region_id, name_2, n, n_studies, n_known_studies, round(area_m2, 0) as area_m2, round(d, 9) as sites_per_km2,
+ {_classes('d', K.DENSITY_BREAKS)} as density_class from dens""",
+)
+def _(s: Survey) -> DataFrame:
+    placed = s.spatial.drop("lon", "lat").join(s.spatial.selectExpr("ord", *POLAR_POINT.split(", ")), "ord")
+    return rounded(sites.site_density_by_region(s.polar, placed).drop("ring"), area_m2=0, sites_per_km2=9)
+
+
 @check(
     "points_in_districts",
     f"with {_hits('fx_district_edges')} select ord, lon, lat, region_id from hits",
@@ -548,6 +662,63 @@ def _(s: Survey) -> DataFrame:
     return load_regions(s.districts.sparkSession, folder).select("region_id", "name_2", points)
 
 
+# Outlines written as border files and read again, in every form.
+_OUTLINE_POINTS = """
+with p as (select region_id, name_2, gid_0, seq, x1 as x, y1 as y from fx_district_edges
+ union all select region_id, name_2, gid_0, 5, x1, y1 from fx_district_edges where seq = 0)
+select cast(region_id as varchar) as region_id, name_2, gid_0, seq, x, y from p"""
+
+
+def _through_files(s: Survey, regions: DataFrame, properties: list[str], form: str) -> DataFrame:
+    spark = regions.sparkSession
+    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    write_borders(regions, folder, properties, form)
+    return load_borders(spark, folder, {p: p for p in properties}, form)
+
+
+def _outline_points(borders: DataFrame) -> DataFrame:
+    return borders.select("region_id", "name_2", "gid_0", F.posexplode(F.flatten("ring")).alias("seq", "p")).select(
+        "region_id", "name_2", "gid_0", "seq", "p.x", "p.y"
+    )
+
+
+@check("borders_from_geojson", _OUTLINE_POINTS)
+def _(s: Survey) -> DataFrame:
+    return _outline_points(_through_files(s, s.districts, ["region_id", "name_2", "gid_0"], "geojson"))
+
+
+@check("borders_from_geojson_lines", _OUTLINE_POINTS)
+def _(s: Survey) -> DataFrame:
+    return _outline_points(_through_files(s, s.districts, ["region_id", "name_2", "gid_0"], "geojsonl"))
+
+
+@check("borders_from_wkt", _OUTLINE_POINTS)
+def _(s: Survey) -> DataFrame:
+    return _outline_points(_through_files(s, s.districts, ["region_id", "name_2", "gid_0"], "wkt"))
+
+
+@check(
+    "site_density_from_border_files",
+    f"select * replace (cast(region_id as varchar) as region_id) from ({_density_rows('region_id', 'fx_holed_edges', _holed_areas)})",
+)
+def _(s: Survey) -> DataFrame:
+    borders = _through_files(s, s.holed, ["region_id", "name_2"], "geojsonl")
+    return rounded(sites.site_density_by_region(borders, s.spatial).drop("ring"), area_m2=0, sites_per_km2=9)
+
+
+# The sites stored without ``ord``, in several files that follow the order they were recorded in.
+@check(
+    "first_site_by_file_order",
+    """
+select ord, cast(unique_id as varchar) as unique_id, lon, lat from (select * replace (row_number() over (order by ord) as ord),
+ row_number() over (partition by lon, lat order by ord) as rn from fx_spatial) where rn = 1""",
+)
+def _(s: Survey) -> DataFrame:
+    folder = f"{shared_folder(s.spatial.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    s.spatial.orderBy("ord").drop("ord").write.option("maxRecordsPerFile", 2_000).parquet(f"{folder}/spatial.parquet")
+    return sites.distinct_sites(load_table(s.spatial.sparkSession, folder, "spatial")).select("ord", "unique_id", "lon", "lat")
+
+
 @check(
     "density_layer_from_stored_table",
     _density("region_id") + """
@@ -922,7 +1093,28 @@ def _(s: Survey) -> DataFrame:
 
 @check("host_pathogen_table_from_raw_names", _table(_BY_HOST))
 def _(s: Survey) -> DataFrame:
-    return associations.host_pathogen_table(s.raw_pathogen, HOSTS, [K.ALL], raw=True)
+    return associations.host_pathogen_table(s.raw_pathogen, HOSTS, [K.ALL], associations.RAW)
+
+
+def _stored_rollup(s: Survey, compact: bool = False) -> DataFrame:
+    """The rollup of two thirds of the assays, joined by that of the rest, which holds the same studies."""
+    spark = s.raw_pathogen.sparkSession
+    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    store_rollup(associations.clean_study_rollup(s.raw_pathogen.filter("ord % 3 <> 0")), folder)
+    append_rollup(associations.clean_study_rollup(s.raw_pathogen.filter("ord % 3 = 0")), folder)
+    if compact:
+        compact_rollup(spark, folder)
+    return open_rollup(spark, folder)
+
+
+@check("host_pathogen_table_from_rollup", _table())
+def _(s: Survey) -> DataFrame:
+    return associations.host_pathogen_table(_stored_rollup(s), form=associations.ROLLUP)
+
+
+@check("host_pathogen_table_from_rollup_by_both", _table(f"{_BY_HOST} and {_BY_PATHOGEN}"))
+def _(s: Survey) -> DataFrame:
+    return associations.host_pathogen_table(_stored_rollup(s, compact=True), HOSTS, PATHOGENS, associations.ROLLUP)
 
 
 @check(
@@ -947,20 +1139,28 @@ def _(s: Survey) -> DataFrame:
 _SELECTED = f"select * from n where id in ({', '.join(map(str, TABLE_ROWS))})"
 
 
-@check(
-    "tested_per_country",
-    f"""
+_TESTED = f"""
 with {_rollup()}, c as (select country, iso3c, {total('number_tested')} as number_tested
  from ({_SELECTED}) group by 1, 2)
 select c.country, c.iso3c, c.number_tested, b.name_0, case when b.gid_0 is null then null else 6 end as outline_points
-from c left join fx_level_0 b on c.iso3c = b.gid_0""",
-)
-def _(s: Survey) -> DataFrame:
-    tested = associations.tested_per_country(s.pathogen, s.level_0, TABLE_ROWS)
+from c left join fx_level_0 b on c.iso3c = b.gid_0"""
+
+
+def _outlined(tested: DataFrame) -> DataFrame:
     points = F.when(F.col("ring").isNotNull(), F.size(F.flatten("ring")))
     return tested.withColumn("outline_points", points).drop("ring")
 
 
+@check("tested_per_country", _TESTED)
+def _(s: Survey) -> DataFrame:
+    return _outlined(associations.tested_per_country(s.pathogen, s.level_0, TABLE_ROWS))
+
+
+@check("tested_per_country_from_rollup", _TESTED)
+def _(s: Survey) -> DataFrame:
+    return _outlined(associations.tested_per_country(_stored_rollup(s), s.level_0, TABLE_ROWS, form=associations.ROLLUP))
+
+
 @check("host_pathogen_rollup", f"with {_rollup()} select * from t")
 def _(s: Survey) -> DataFrame:
     return host_pathogen(s.pathogen)

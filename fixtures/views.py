@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cache, cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
@@ -119,18 +119,18 @@ def _supplier_corner(number: int) -> tuple[str, str]:
     )
 
 
-def _ring_sql(corner) -> str:
+def _ring_sql(corner, count: int = len(CORNERS)) -> str:
     """``ring`` column of the region outlines, in Spark SQL."""
-    points = [corner(i) for i in range(len(CORNERS) + 1)]
+    points = [corner(i) for i in range(count)] + [corner(0)]
     listed = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in points)
     return f"array(array({listed}))"
 
 
-def _edges_sql(columns: str, source: str, corner) -> str:
+def _edges_sql(columns: str, source: str, corner, count: int = len(CORNERS)) -> str:
     """Outlines as one row per edge, in standard SQL."""
     parts = []
-    for i in range(len(CORNERS)):
-        (x1, y1), (x2, y2) = corner(i), corner(i + 1)
+    for i in range(count):
+        (x1, y1), (x2, y2) = corner(i), corner((i + 1) % count)
         parts.append(f"select {columns}, {i} as seq, {x1} as x1, {y1} as y1, {x2} as x2, {y2} as y2 from {source}")
     return " union all ".join(parts)
 
@@ -171,7 +171,45 @@ def _holed_edges_sql() -> str:
     return " union all ".join(parts)
 
 
+# A band across the whole survey area per continent, four corners each.
+def _wide_corner(number: int) -> tuple[str, str]:
+    x, y = ((-1691, 411), (689, 437), (677, 771), (-1673, 757))[number % 4]
+    return (
+        f"({x} + r_regionkey * 3) / cast(100 as double)",
+        f"({y} + r_regionkey * 397) / cast(100 as double)",
+    )
+
+
+# A cap per continent of twelve corners round a pole, north and south in turn; the southern ones are listed westwards.
+def _polar_corner(number: int) -> tuple[str, str]:
+    x = f"(r_regionkey * 7 + {30 * number} + 180) % 360 - 180"
+    back = f"(r_regionkey * 7 + {360 - 30 * number} + 180) % 360 - 180"
+    return (
+        f"cast(case when r_regionkey % 2 = 0 then {x} else {back} end as double)",
+        "cast((71 + 3 * r_regionkey) * case when r_regionkey % 2 = 0 then 1 else -1 end as double)",
+    )
+
+
+# Sites of the survey spread round both poles.
+POLAR_POINT = "lon * 15 as lon, (66 + lat) * case when ord % 2 = 0 then 1 else -1 end as lat"
+
+MOVED_DEGREES = 185
+
+
+def moved(lon: Column) -> Column:
+    """A longitude further east, between -180 and 180 degrees."""
+    east = lon + MOVED_DEGREES
+    return F.when(east > 180, east - 360).otherwise(east)
+
+
+def moved_rings(regions: DataFrame) -> DataFrame:
+    """Regions further east, as ``moved``."""
+    point = lambda p: F.struct(moved(p["x"]).alias("x"), p["y"].alias("y"))
+    return regions.withColumn("ring", F.transform("ring", lambda r: F.transform(r, point)))
+
+
 _LEVEL_2 = "n_nationkey as region_id, concat('R', cast(n_nationkey % 20 as string)) as name_2"
+_CONTINENT = "r_regionkey as region_id, r_name as name_2"
 _DISTRICT = (
     "s_suppkey as region_id, s_name as name_2, concat('N', cast(s_nationkey as string)) as gid_0"
 )
@@ -241,6 +279,16 @@ class Survey:
         """Regions with holes of either winding, and islands in some holes."""
         return self._view(f"select n_nationkey as region_id, n_name as name_2, {_holed_ring_sql()} as ring from {{nation}}")
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Regions with long east-west edges."""
+        return self._view(f"select {_CONTINENT}, {_ring_sql(_wide_corner, 4)} as ring from {{region}}")
+
+    @cached_property
+    def polar(self) -> DataFrame:
+        """Regions round the poles."""
+        return self._view(f"select {_CONTINENT}, {_ring_sql(_polar_corner, 12)} as ring from {{region}}")
+
     @cached_property
     def whole(self) -> DataFrame:
         """One region that holds every site."""
@@ -287,6 +335,8 @@ def with_views(sql: str) -> str:
         _DISTRICT, _PLACED_SUPPLIERS.replace("{supplier}", "supplier"), _supplier_corner
     )
     plain["fx_holed_edges"] = _holed_edges_sql()
+    plain["fx_wide_edges"] = _edges_sql(_CONTINENT, "region", _wide_corner, 4)
+    plain["fx_polar_edges"] = _edges_sql(_CONTINENT, "region", _polar_corner, 12)
     plain["px_pathogen"] = (
         f"select * replace ({sentence('classification')} as classification) from fx_pathogen"
     )

@@ -1,15 +1,19 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from trapline.operators import order
+from trapline.functions.geometry import ring_from_wkt
 from trapline.sources import paging
+from trapline.sources.borders import load_borders, write_borders
 from trapline.sources.layers import point_layer, region_layer, write_points, write_regions
-from trapline.sources.paging import table_page
+from trapline.sources.paging import open_pages, store_pages, table_page
 from trapline.sources.tables import (
     load_regions,
     load_table,
     table_schema,
     union_regions,
+    with_file_order,
     with_lon_lat,
 )
 
@@ -73,10 +77,7 @@ def table(spark):
     )
 
 
-@pytest.mark.parametrize("top_k", [10_000, 50])
-def test_pages_are_disjoint_and_complete(table, monkeypatch, top_k):
-    for module in (order, paging):
-        monkeypatch.setattr(module, "TOP_K_POSITIONS", top_k)
+def test_pages_are_disjoint_and_complete(table):
     sort = [F.col("year").desc()]
     seen = []
     for page in range(6):
@@ -94,3 +95,129 @@ def test_page_filters_and_search(table):
     assert ids(column_filters={"year": (None, 0)}) == [f"id{i:03}" for i in range(0, 205, 7)]
     assert ids(column_filters={"aim": [None], "year": [1]}) == [f"id{i:03}" for i in range(205) if i % 7 == 1 and i % 2]
     assert ids(search="RISK id00") == [f"id{i:03}" for i in range(0, 10, 2)]
+
+
+@pytest.fixture
+def stored(table, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "BLOCK_ROWS", 10)
+    store_pages(table, f"{tmp_path}/pages", "unique_id", [F.col("year").desc()], 50)
+    return open_pages(table.sparkSession, f"{tmp_path}/pages", 50)
+
+
+def test_stored_pages_are_those_of_the_table(table, stored):
+    sort = [F.col("year").desc()]
+    whole = [r.unique_id for r in table.orderBy(*sort, "unique_id").collect()]
+    assert [r.unique_id for p in range(6) for r in stored.page(offset=p * 40, limit=40).collect()] == whole
+    assert stored.page(offset=300).count() == 0 and stored.columns == table.columns
+    for options in (
+        {"column_filters": {"aim": "zoonoses r"}}, {"column_filters": {"year": (2, 3)}, "search": "id1"}, {"search": "RISK id00"},
+        {"search": "5"}, {"search": "id10 1"}, {"search": "nowhere"}, {"search": "oses ri isk"},
+    ):
+        for offset, limit in ((0, 5), (7, 30), (40, 100)):
+            plain = table_page(table, "unique_id", order=sort, offset=offset, limit=limit, **options).collect()
+            assert stored.page(offset=offset, limit=limit, **options).collect() == plain
+    assert [(r.unique_id, r.position) for r in stored.at([205, 3, 51, 0, 999]).orderBy("position").collect()] == [
+        (whole[p - 1], p) for p in (3, 51, 205)
+    ]
+
+
+def test_a_deep_page_reads_one_folder(stored):
+    for offset in (0, 160):
+        plan = stored.page(offset=offset, limit=10)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(__folder" in plan or "PartitionFilters: [__folder" in plan
+        files = {r[0].split("__folder=")[1].split("/")[0] for r in stored.rows.filter(F.col("__folder") == offset // 50).select("_metadata.file_path").distinct().collect()}
+        assert files == {str(offset // 50)}
+        assert "Window" not in plan and "Exchange hash" not in plan
+
+
+def test_search_blocks_hold_all_matches_and_leave_out_others(table, stored):
+    blocks = stored._blocks("id123").collect()
+    assert 1 <= len(blocks) < 6
+    assert [r.unique_id for r in stored.matches(search="id123").collect()] == ["id123"]
+    assert stored._blocks("12 3") is None
+
+
+FEATURES = [
+    {"type": "Feature", "properties": {"GID_0": "AAA", "NAME_0": "A, \"quoted\""}, "geometry": {"type": "Polygon", "coordinates": [
+        [[0, 0], [4.25, 0], [4.25, 1e-7], [0, 4], [0, 0]], [[1, 0.5, 9], [2, 0.5, 9], [1, 1, 9], [1, 0.5, 9]]]}},
+    {"type": "Feature", "properties": {"GID_0": "BBB"}, "geometry": {"type": "MultiPolygon", "coordinates": [
+        [[[10, 0], [11, 0], [11, 1], [10, 0]]], [[[20, 0], [24, 0], [24, 4], [20, 0]], [[22, 0.5], [23, 0.5], [23, 1], [22, 0.5]]]]}},
+    {"type": "Feature", "properties": {"GID_0": "open"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1]]]}},
+    {"type": "Feature", "properties": {"GID_0": "short"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 0]]]}},
+    {"type": "Feature", "properties": {"GID_0": "point"}, "geometry": {"type": "Point", "coordinates": [0, 0]}},
+    {"type": "Feature", "properties": {"GID_0": "none"}, "geometry": None},
+    {"type": "Feature", "properties": {"GID_0": "bad"}, "geometry": {"type": "Polygon", "coordinates": "text"}},
+    {"type": "Feature", "properties": {"GID_0": "half"}, "geometry": {"type": "Polygon", "coordinates": [[[0], [1], [1], [0]]]}},
+]
+RINGS = {
+    "AAA": [[(0, 0), (4.25, 0), (4.25, 1e-7), (0, 4), (0, 0)], [(1, 0.5), (2, 0.5), (1, 1), (1, 0.5)]],
+    "BBB": [[(10, 0), (11, 0), (11, 1), (10, 0)], [(20, 0), (24, 0), (24, 4), (20, 0)], [(22, 0.5), (23, 0.5), (23, 1), (22, 0.5)]],
+}
+
+
+def rings(df):
+    return {r.gid_0: r.ring and [[tuple(p) for p in ring] for ring in r.ring] for r in df.collect()}
+
+
+def test_geojson_borders(spark, tmp_path):
+    names = {"GID_0": "gid_0", "NAME_0": "name_0"}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": FEATURES}, indent=1))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.jsonl").write_text("\n".join("\x1e" * (i % 2) + json.dumps(f) for i, f in enumerate(FEATURES)) + "\n\nno json\n")
+    expected = RINGS | {k: None for k in ("open", "short", "point", "none", "bad", "half")}
+    collection = load_borders(spark, f"{tmp_path}/one", names, "geojson")
+    assert rings(collection) == expected
+    assert {r.gid_0: r.name_0 for r in collection.collect()}["AAA"] == 'A, "quoted"'
+    assert rings(load_borders(spark, f"{tmp_path}/lines", names, "geojsonl")) == expected | {None: None}
+    with pytest.raises(ValueError):
+        load_borders(spark, str(tmp_path), names, "shape")
+
+
+@pytest.mark.parametrize("form", ["geojson", "geojsonl", "wkt"])
+def test_borders_go_out_and_come_back_equal(spark, tmp_path, form):
+    data = [(k, "name " + k, [[{"x": float(x), "y": float(y)} for x, y in r] for r in v]) for k, v in RINGS.items()]
+    data.append(("digits", "tab\tquote\"", [[{"x": 0.1 + i / 3, "y": 1e-9 * i} for i in (0, 1, 2, 0)]]))
+    regions = spark.createDataFrame(data, "gid_0 string, name_0 string, ring array<array<struct<x:double,y:double>>>").repartition(3)
+    write_borders(regions, f"{tmp_path}/out", ["gid_0", "name_0"], form)
+    back = load_borders(spark, f"{tmp_path}/out", {"gid_0": "gid_0", "name_0": "name_0"}, form)
+    assert sorted(back.collect()) == sorted(regions.select("gid_0", "name_0", "ring").collect())
+
+
+def test_wkt_polygons(evaluate):
+    square = "((0 0, 1 0, 1 1, 0 0))"
+    ring = [[(0, 0), (1, 0), (1, 1), (0, 0)]]
+    good = {
+        f"POLYGON {square}": ring, f"  srid=4326; polygon{square} ": ring, "POLYGON Z ((0 0 5, 1 0 5, 1 1 5, 0 0 5))": ring,
+        f"MULTIPOLYGON ({square}, {square})": ring * 2, "Polygon((0.0 -0, 1e0 .0,+1. 1,\n0 0))": ring,
+        "POLYGON EMPTY": [], "MULTIPOLYGON ZM EMPTY": [],
+        "POLYGON (" + "(0 0, " + "1.5 2.5, " * 30_000 + "0 0))": [[(0, 0), *[(1.5, 2.5)] * 30_000, (0, 0)]],
+    }
+    bad = [
+        None, "", "POINT (1 2)", "POLYGON (0 0, 1 0, 1 1, 0 0)", f"POLYGON ({square})", f"MULTIPOLYGON {square}", "POLYGON ((0 0, 1 0, 1 1))",
+        "POLYGON ((0 0, 1 0, 0 0))", "POLYGON ((0 0 1 0, 1 1, 0 0))", "POLYGON ((0 0, 1 0,, 1 1, 0 0))", "POLYGON ((0 0, 1 0, 1 1, 0 0)",
+        "POLYGON ((0 0, 1 x, 1 1, 0 0))", "POLYGON ((0 0, 1, 1 1, 0 0))", "POLYGON ((0 0, 1 0, 1 1, 0 0)) more", "POLYGON ((0 0, 1e999 0, 1 1, 0 0))",
+    ]
+    found = evaluate([*good, *bad], "string", ring_from_wkt)
+    assert [f if f is None else [[tuple(p) for p in r] for r in f] for f in found] == [*good.values(), *[None] * len(bad)]
+
+
+def test_order_of_files_and_rows_under_any_split(spark, tmp_path):
+    rows = spark.range(0, 3_000, 1, 5).select((F.col("id") * 7 % 3_001).alias("v"), F.rand(1).alias("filler"))
+    for name in ("b", "a", "c"):
+        rows.filter(F.col("v") % 3 == "bac".index(name)).coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/t.parquet/{name}")
+    seen = []
+    for size in ("128MB", "4KB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/t.parquet")
+            seen.append([r.v for r in with_file_order(stored).orderBy("ord").collect()])
+            assert sorted(r.ord for r in with_file_order(stored).collect()) == list(range(1, 3_001))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and {v % 3 for v in seen[0][:1_000]} == {1}
+
+
+def test_tables_without_order_take_that_of_their_files(spark, tmp_path):
+    spark.range(3).selectExpr("concat('s', id) as unique_id", "id as n").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert [tuple(r) for r in load_table(spark, str(tmp_path), "t", "ord bigint, unique_id string").orderBy("ord").collect()] == [(1, "s0"), (2, "s1"), (3, "s2")]

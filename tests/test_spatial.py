@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trapline.functions.sphere import EARTH_RADIUS_M, ring_area_m2
 from trapline.operators.spatial import (
     join_points_in_regions,
     region_cells,
@@ -41,16 +42,21 @@ def hits(df):
     return sorted((r.ord, r.region_id) for r in df.collect())
 
 
+def unit(x, y):
+    x, y = math.radians(x), math.radians(y)
+    return math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)
+
+
 def inside(rings, x, y):
-    """Closed point-in-polygon test, one edge at a time."""
-    odd = False
+    """Closed point-in-polygon test by side of each edge's plane, one edge at a time; for regions that hold no pole."""
+    odd, (px, py, pz) = False, unit(x, y)
     for ring in rings:
         for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
-            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and (
-                min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)
-            ):
+            if (x, y) == (x1, y1) or x1 == x2 == x and min(y1, y2) <= y <= max(y1, y2):
                 return True
-            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            (ax, ay, az), (bx, by, bz) = unit(x1, y1), unit(x2, y2)
+            side = px * (ay * bz - az * by) + py * (az * bx - ax * bz) + pz * (ax * by - ay * bx)
+            if (x1 > x) != (x2 > x) and (side < 0) == (x2 > x1):
                 odd = not odd
     return odd
 
@@ -114,11 +120,78 @@ def test_random_regions_of_all_sizes_against_brute_force(spark):
     assert hits(join_points_in_regions(sites, regions, "region_id", broadcast_bytes=0)) == expected
 
 
+def ring_at(lat, start=0.0, step=30):
+    """Ring round the earth, eastwards, without and with longitudes beyond 180 degrees."""
+    corners = [(start + i, lat) for i in range(0, 360, step)]
+    return corners + corners[:1]
+
+
+def test_edges_are_arcs_of_great_circles(spark):
+    shapes = {"north": [[(-30, 40), (30, 40), (30, 60), (-30, 60), (-30, 40)]], "south": [[(-30, 20), (30, 20), (30, 40), (-30, 40), (-30, 20)]]}
+    top = math.degrees(math.atan(math.tan(math.radians(40)) / math.cos(math.radians(30))))
+    points = [(0, 40), (0, 42), (0, top - 1e-9), (0, top + 1e-9), (0, 61), (29.9, 40.001), (30, 40), (0, 21)]
+    found = hits(join_points_in_regions(as_points(spark, points), as_regions(spark, shapes), "region_id"))
+    assert top > 44 and found == [
+        (0, "south"), (1, "south"), (2, "south"), (3, "north"), (4, "north"), (5, "south"), (6, "north"), (6, "south")
+    ]
+
+
+@pytest.mark.parametrize("by", [0, 175.5, 187.25, -190])
+def test_shifting_round_the_earth_changes_nothing(spark, by):
+    pick = random.Random(23)
+    shapes = {f"r{i}": [star(pick, pick.uniform(-15, 15), pick.uniform(-60, 60), pick.choice([0.5, 4, 20]), pick.randrange(3, 20))] for i in range(25)}
+    points = [(round(pick.uniform(-30, 30) * 1024) / 1024, round(pick.uniform(-70, 70) * 1024) / 1024) for _ in range(700)]
+    shapes = {k: [[(round(x * 1024) / 1024 + 1 / 4096, y) for x, y in r] for r in rings] for k, rings in shapes.items()}
+    expected = [(i, key) for i, (x, y) in enumerate(points) for key, rings in shapes.items() if inside(rings, x, y)]
+    turned = {k: [[((x + by + 180) % 360 - 180, y) for x, y in r] for r in rings] for k, rings in shapes.items()}
+    moved = [(x + by, y) for x, y in points]
+    regions = as_regions(spark, turned)
+    assert len(expected) > 100 and hits(join_points_in_regions(as_points(spark, moved), regions, "region_id")) == sorted(expected)
+    areas = dict(regions.select("region_id", ring_area_m2("ring")).collect())
+    still = dict(as_regions(spark, shapes).select("region_id", ring_area_m2("ring")).collect())
+    assert areas == pytest.approx(still, rel=1e-9)
+    cells = dict(region_cells(regions, "region_id").groupBy("region_id").count().collect())
+    assert max(cells.values()) < 3_000
+
+
+def test_regions_round_the_poles(spark):
+    closed = [(-180.0, -75.0), *[(float(x), -75.0) for x in range(-150, 180, 30)], (180.0, -75.0), (180.0, -90.0), (-180.0, -90.0), (-180.0, -75.0)]
+    shapes = {
+        "cap": [ring_at(70)], "west": [ring_at(70, 10)[::-1]], "belt": [ring_at(60), ring_at(80, 5)], "south": [ring_at(-65, -170)],
+        "drawn": [closed],
+    }
+    points = [(0, 90), (77, 89), (-179, 71.9), (180, 72), (15, 70.1), (50, 61.9), (50, 85), (-180, -66), (33, -90), (100, -64), (0, 0), (200, -80)]
+    found = hits(join_points_in_regions(as_points(spark, points), as_regions(spark, shapes), "region_id"))
+    expected = {
+        0: ["cap", "west"], 1: ["cap", "west"], 2: ["cap", "west", "belt"], 3: ["cap", "west", "belt"], 4: ["belt"], 5: ["belt"], 6: ["cap", "west"],
+        7: ["south"], 8: ["south", "drawn"], 9: [], 10: [], 11: ["south", "drawn"],
+    }
+    assert found == sorted((i, r) for i, names in expected.items() for r in names)
+
+    def cap(lat, step=30):
+        k, a = math.tan(math.radians(90 - lat) / 2) ** 2, math.radians(step)
+        return 360 / step * 2 * math.atan2(k * math.sin(a), 1 + k * math.cos(a)) * EARTH_RADIUS_M**2
+
+    areas = dict(as_regions(spark, shapes).select("region_id", ring_area_m2("ring")).collect())
+    expected = {"cap": cap(70), "west": cap(70), "belt": cap(60) - cap(80), "south": cap(65), "drawn": cap(75)}
+    assert areas == pytest.approx(expected, rel=1e-9)
+
+
+def test_the_date_line_as_a_border(spark):
+    shapes = {"west": [box(170, 0, 180, 10)], "east": [box(-180, 0, -170, 10)], "both": [box(175, 20, 185, 30)]}
+    points = [(180, 5), (-180, 5), (179, 5), (-179, 5), (180, 25), (175, 25), (-175, 25), (184.5, 25), (-175.5, 25), (0, 5), (180, 0), (540 - 360, 10)]
+    found = hits(join_points_in_regions(as_points(spark, points), as_regions(spark, shapes), "region_id"))
+    assert found == sorted(
+        [(0, "west"), (0, "east"), (1, "west"), (1, "east"), (2, "west"), (3, "east"), (4, "both"), (5, "both"), (6, "both"), (7, "both"),
+         (8, "both"), (10, "west"), (10, "east"), (11, "west"), (11, "east")]
+    )
+
+
 def test_cells_per_region_are_bounded_whatever_its_size(spark):
-    shapes = {"world": [box(-180, -90, 180, 90)], "yard": [box(1, 1, 1.00001, 1.00001)], "dot": [box(3, 3, 3, 3)]}
+    shapes = {"half": [box(-89, -80, 89, 80)], "cap": [ring_at(60)], "yard": [box(1, 1, 1.00001, 1.00001)], "dot": [box(3, 3, 3, 3)]}
     cells = region_cells(as_regions(spark, shapes), "region_id")
     per_region = dict(cells.groupBy("region_id").count().collect())
-    assert max(per_region.values()) <= 9 * 9
+    assert max(per_region.values()) <= 17 * 17
 
 
 def test_cells_inside_a_region_need_no_edges(spark):

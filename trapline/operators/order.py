@@ -18,10 +18,6 @@ from trapline.session import settle
 _PART, _SPOT = "__part", "__spot"
 _SPOT_BITS = 33  # monotonically_increasing_id() keeps the row within its partition in these bits
 
-# Positions up to this number are found with a top-k, for which every task passes on its first rows;
-# beyond it the table is numbered instead.
-TOP_K_POSITIONS = 10_000
-
 
 def _sorted_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in global order, with their partition and their place in it, stored once."""
@@ -61,23 +57,12 @@ def with_running_total(
     return rows.select(*df.columns, total.alias(name))
 
 
-def head_with_row_id(
-    df: DataFrame, order: Sequence[Column], last: int, name: str = "id"
-) -> DataFrame:
-    """Rows at positions 1 to ``last`` with their number, for a ``last`` within the top-k bound."""
-    if last > TOP_K_POSITIONS:
-        return with_row_id(df, order, name).filter(F.col(name) <= last)
-    number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    return df.orderBy(*order).limit(last).withColumn(name, number)
-
-
 def rows_at(
     df: DataFrame, order: Sequence[Column], positions: Sequence[int], name: str = "id"
 ) -> DataFrame:
     """Rows shown at the given 1-based positions when sorted by ``order``."""
     wanted = sorted({int(p) for p in positions if int(p) > 0})
-    last = wanted[-1] if wanted else 0
-    return head_with_row_id(df, order, last, name).filter(F.col(name).isin(wanted))
+    return with_row_id(df, order, name).filter(F.col(name).isin(wanted))
 
 
 def order_by_count(df: DataFrame, key: str, number: str = "number") -> DataFrame:

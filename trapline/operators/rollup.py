@@ -17,6 +17,10 @@ from trapline.operators.choices import filter_not_contains
 from trapline.operators.order import with_running_total
 
 
+ROLLUP_KEYS = ("country", "iso3c", "classification", "pathogen_clean")
+_MEASURES = ("number", "samples_tested")
+
+
 def count_by(df: DataFrame, *keys: str, number: str = "number") -> DataFrame:
     """Row count per key tuple; a missing key is a group."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(number))
@@ -80,6 +84,35 @@ def host_pathogen(df: DataFrame, labels: dict[str, Column] | None = None) -> Dat
     )
 
 
+def study_rollup(df: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
+    """The host-pathogen rollup one step earlier: per (keys, study) its rows, and of each measure the known values and their sum.
+
+    Such rows add up (``merge_studies``), so they can be stored and joined by those of newer data, and distinct studies stay exact, which
+    counts of studies do not. ``labels`` turn raw key columns into their clean form after grouping.
+    """
+    rows = filter_not_contains(df.select("unique_id", *ROLLUP_KEYS, "assay", *_MEASURES), "assay", K.TESTED)
+    totals = [F.count(F.lit(1)).alias("rows")]
+    for measure in _MEASURES:
+        totals += [F.count(measure).alias(f"known_{measure}"), F.sum(measure).alias(f"sum_{measure}")]
+    parts = rows.groupBy("unique_id", *ROLLUP_KEYS).agg(*totals)
+    return merge_studies(parts.withColumns(labels)) if labels else parts
+
+
+def merge_studies(parts: DataFrame) -> DataFrame:
+    """Rows of one or several study rollups, one per (keys, study)."""
+    keys = ["unique_id", *ROLLUP_KEYS]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
+
+
+def host_pathogen_of_studies(parts: DataFrame) -> DataFrame:
+    """What ``host_pathogen`` gives, from the rows of a study rollup; a study may lie in several of them."""
+    measures = {"number": "number_positive", "samples_tested": "number_tested"}
+    totals = [
+        F.when(F.sum("rows") == F.sum(f"known_{m}"), F.sum(f"sum_{m}")).alias(name) for m, name in measures.items()
+    ]
+    return merge_studies(parts).groupBy(*ROLLUP_KEYS).agg(F.count(F.lit(1)).alias("number_of_studies"), *totals)
+
+
 def assay_totals(df: DataFrame, key: str, status: str, number: str = "number") -> DataFrame:
     """Total per (key, status), missing where a summand is."""
     return df.groupBy(key, status).agg(sum_or_missing(F.col(number)).alias(number))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trapline.functions.geometry import point_x, point_y
+from trapline.functions.geometry import RING, point_x, point_y
+from trapline.operators.order import with_running_total
 
 _POINT_COLUMNS = "lon double, lat double"
-_RING = "array<array<struct<x:double,y:double>>>"
 
 _DDL = {
     "studies": "unique_id string, title string, country string, journal_name string, "
@@ -28,10 +28,10 @@ _DDL = {
     "classification string, pathogen_group string, pathogen_clean string, pathogen_tested string, "
     f"assay string, number bigint, samples_tested bigint, {_POINT_COLUMNS}, pa_colour string, "
     "town_village string, year_trapping bigint, month string",
-    "level_0": f"gid_0 string, name_0 string, ring {_RING}",
-    "level_2": f"region_id string, name_2 string, ring {_RING}",
+    "level_0": f"gid_0 string, name_0 string, ring {RING}",
+    "level_2": f"region_id string, name_2 string, ring {RING}",
     # What site_density_by_region writes, to be drawn many times.
-    "level_2_sites": f"region_id string, name_2 string, ring {_RING}, n bigint, n_studies bigint, "
+    "level_2_sites": f"region_id string, name_2 string, ring {RING}, n bigint, n_studies bigint, "
     "n_known_studies bigint, area_m2 double, sites_per_km2 double, density_class int",
 }
 _DDL["species_prepared"] = _DDL["species"].replace("trap_nights bigint", "trap_nights string")
@@ -53,6 +53,19 @@ def conform(df: DataFrame, schema: StructType, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def with_file_order(stored: DataFrame, name: str = "ord") -> DataFrame:
+    """Number the rows of Parquet files 1, 2, … by file name, then by place in the file, however the files are split.
+
+    ``stored`` is a DataFrame as it was read. Every file's rows are counted first; only one total per file is sorted.
+    """
+    rows = stored.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    sizes = rows.groupBy("__file").agg((F.max("__place") + 1).alias("__rows"))
+    ends = with_running_total(sizes, [F.col("__file")], "__rows", "__end")
+    starts = ends.select("__file", (F.col("__end") - F.col("__rows")).alias("__start"))
+    number = F.col("__start") + F.col("__place") + 1
+    return rows.join(starts, "__file").select(*stored.columns, number.alias(name))
+
+
 def load_table(
     spark: SparkSession,
     directory: str,
@@ -60,12 +73,17 @@ def load_table(
     schema: StructType | str | None = None,
     suffix: str = ".parquet",
 ) -> DataFrame:
-    """Read ``directory/name + suffix`` (a file or a directory of files) as a declared table."""
+    """Read ``directory/name + suffix`` (a file or a directory of files) as a declared table.
+
+    A declared ``ord`` that the files lack is the order of the files and of the rows in them.
+    """
     if schema is None:
         schema = table_schema(name)
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     stored = spark.read.parquet(f"{directory.rstrip('/')}/{name}{suffix}")
+    if "ord" in schema.fieldNames() and "ord" not in stored.columns:
+        stored = with_file_order(stored)
     return conform(stored, schema, name)
 
 
