@@ -22,8 +22,23 @@ def test_copies_new_parameters_and_clean_texts(spark, documents):
         (7, "words " * 30_000 + OTHER), (8, None), (9, ""), (None, ITEM), (1, f"Before it. {ITEM} And after it."), (10, OTHER[:30]),
     ]
     found = {(d, i) for d, i, _ in run(spark, documents, docs, [(1, ITEM), (2, OTHER), (3, None), (4, ""), (None, OTHER), (5, "a b c")])}
-    # Capitals hide which words are names (4), so half of the windows around them differ.
-    assert found == {(1, 1), (2, 1), (6, 2), (7, 2)}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2)}
+
+
+def test_copies_in_other_capitals_and_with_one_value_changed(spark, documents):
+    sums = "Compute 12 + 34 + 56 + 78 + 90 - 11 and give it as a number."
+    docs = [
+        (1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.title()), (4, ITEM.replace("Anna", "Berta", 1)), (5, ITEM.replace("120", "75")),
+        (6, sums), (7, "He paid 3, 5 and give it back as a favour."), (8, sums.replace("12", "13").replace("56", "57")),
+        (9, " ".join(w for i, w in enumerate(ITEM.split()) if i % 3)),
+    ]
+    assert {(d, i) for d, i, _ in run(spark, documents, docs, [(1, ITEM), (2, sums)])} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2)}
+
+
+def test_only_windows_with_the_clash_are_taken_off(spark, documents):
+    coverage = {d: c for d, _, c in run(spark, documents, [(1, ITEM), (2, ITEM.replace("Anna", "Berta", 1))], [(1, ITEM)])}
+    words = len(ITEM.replace(",", "").replace(".", "").split())
+    assert coverage == {1: 1.0, 2: round((words - 4 - 5) / (words - 4), 6)}
 
 
 def test_placeholders_alone_match_nothing(spark, documents):
@@ -36,7 +51,7 @@ def test_shuffled_windows_give_the_same(spark, small_dir, small_documents, monke
 
     benchmark = spark.read.parquet(f"{small_dir}/benchmark.parquet")
     once = sorted(contaminated(small_documents, benchmark).collect())
-    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "MAX_WINDOW_BYTES", 0)
     assert sorted(contaminated(small_documents, benchmark).collect()) == once != []
 
 
