@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -66,22 +67,59 @@ def test_added_spans_leave_base_spans_alone(found):
 
 
 def test_redaction_takes_what_was_found_and_nothing_else(found):
-    docs, rows, classifier = found
-    changed = {r.doc_id: r.text for r in redact(docs, classifier).collect()}
+    docs, rows, _ = found
+    changed = {r.doc_id: r.text for r in redact(docs).collect()}
     for number, text in enumerate(TEXTS):
-        if not rows[number].spans:
-            assert changed[number] == text
-        else:
-            assert not base_spans(changed[number]) and changed[number] != text
+        expected, at = [], 0
+        for start, _, kind, end in sorted((int(a), -int(b), k, int(b)) for k, a, b in (s.split(":") for s in rows[number].spans.split(",") if s)):
+            if start >= at:
+                expected += [text[at:start], f"<{kind.upper()}>"]
+            at = max(at, end)
+        assert changed[number] == (text if not expected else "".join(expected) + text[at:])
     assert changed[TEXTS.index("a@b.c")] == "<EMAIL>" and changed[TEXTS.index("+1 555 010 9999.")] == "<PHONE>."
     assert changed[TEXTS.index("- 4111111111111111 -")] == "- <CARD> -"
 
 
 def test_estimation_finds_the_reliable_labelers():
-    patterns = [((1, 1, 0, 1), 60), ((1, 0, 0, -1), 20), ((-1, -1, 0, 1), 70), ((-1, 0, -1, -1), 50), ((1, 1, 1, -1), 30)]
-    truth = dict(zip([p for p, _ in patterns], estimate(patterns)))
-    assert min(truth[1, 1, 0, 1], truth[1, 1, 1, -1]) > 0.9 and max(truth[-1, -1, 0, 1], truth[-1, 0, -1, -1]) < 0.1
-    assert estimate([]) == []
+    patterns = [((1, 1, 1, 1, 1), 30), ((1, 1, 0, 1, 1), 60), ((1, 1, 0, -1, 1), 20), ((-1, -1, 0, 1, -1), 70), ((-1, -1, -1, -1, 1), 50), ((-1, -1, 0, 1, 1), 40)]
+    truth = dict(zip([p for p, _ in patterns], estimate("account", patterns)))
+    assert min(truth[1, 1, 0, 1, 1], truth[1, 1, 0, -1, 1]) > 0.9 and max(truth[-1, -1, 0, 1, -1], truth[-1, -1, 0, 1, 1]) < 0.1
+    assert estimate("account", []) == []
+
+
+def test_planted_and_decoy_spans(spark):
+    pick = random.Random(11)
+    digits = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
+    failing = lambda: next(d for d in iter(lambda: digits(16), "") if not luhn(d))
+    passing = lambda n: next(d for d in iter(lambda: digits(n), "") if luhn(d))
+    hexes = lambda n: "".join(pick.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    planted = {
+        "account": lambda: f"paid to account {passing(15)}", "dial": lambda: f"call {pick.randrange(201, 999)}-{pick.randrange(201, 999)}-{digits(4)}",
+        "secret": lambda: f'token = "{hexes(40)}"',
+    }
+    decoys = [
+        lambda: f"the number {failing()} in prose", lambda: f"order {digits(14)}", lambda: f"isbn {digits(13)}", lambda: f"{failing()} {failing()}",
+        lambda: f"rows {pick.randrange(100, 199)}-{pick.randrange(100, 199)}-{digits(4)}", lambda: "version_of_a_long_name_1_of_many_parts",
+    ]
+    data, truth = [], {}
+    for i in range(400):
+        kind = pick.choice([None, None, *planted])
+        data.append((i, "some words " + (planted[kind]() if kind else pick.choice(decoys)()) + " and more of them"))
+        truth[i] = kind
+    spans, _ = detect(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4))
+    got = {r.doc_id: {s.kind for s in r.spans} - set(PATTERNS) for r in spans.collect()}
+    right = sum(truth[i] in got[i] for i in truth if truth[i])
+    wrong = sum(bool(got[i]) for i in truth if not truth[i])
+    assert right >= 0.97 * sum(t is not None for t in truth.values())
+    assert wrong == 0
+
+
+def test_clean_numbers_of_the_given_documents_are_left_alone(small_documents):
+    spans, _ = detect(small_documents)
+    for row in spans.join(small_documents, "doc_id").select("text", "spans").collect():
+        for s in row.spans:
+            if s.kind == "account":
+                assert luhn(re.sub("[^0-9]", "", row.text[s.start : s.end]))
 
 
 def test_empty_tables_repeated_rows_and_clashing_columns(documents):
@@ -90,12 +128,12 @@ def test_empty_tables_repeated_rows_and_clashing_columns(documents):
     docs = documents([(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")]).withColumns({"base": F.lit("x"), "spans": F.lit("y"), "candidates": F.lit(1)})
     spans, classifier = detect(docs)
     assert sorted((r.doc_id or 0, len(r.base)) for r in spans.collect()) == [(0, 1), (1, 1), (1, 1)]
-    assert [(r.text, r.base) for r in redact(docs, classifier).collect()] == [("<EMAIL>", "x")] * 3
+    assert [(r.text, r.base) for r in redact(docs).collect()] == [("<EMAIL>", "x")] * 3
 
 
 def test_plan_is_native(small_documents):
-    from trapline.llm.pii import SpanClassifier, find_candidates
+    from trapline.llm.pii import find_candidates
 
-    for df in (find_candidates(small_documents), redact(small_documents, SpanClassifier({}, {}))):
+    for df in (find_candidates(small_documents), redact(small_documents)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "Exchange"))

@@ -46,6 +46,13 @@ def test_decisions_take_effect(spark, tmp_path):
     assert "<EMAIL>" in changed.text and changed.n_chars == len(changed.text) and changed.lang in words and changed.extra == "kept"
 
 
+def test_one_document_of_each_group_stays(spark, documents):
+    a, b = ("one two three four five six seven eight nine ten " * 3 + end for end in ("alpha", "beta gamma delta epsilon zeta eta theta iota"))
+    rows = [(3, b), (5, a), (5, b), (7, a), (9, "quite another text of its own"), (9, "quite another text of its own"), (None, a), (11, None), (12, "")]
+    kept = corpus_pipeline.without_copies(spark, documents(rows), "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == sorted([(0, a), (3, b), (5, a), (9, rows[4][1])])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -1,10 +1,12 @@
 """Personal data in text: weak labelers, expectation-maximisation and a span classifier.
 
 Emails, IP addresses, cards and phone numbers that pass their checks are always found. Further candidates (numbers like accounts,
-numbers like local phones, strings like credentials) are voted on by four labelers: a strict pattern, a gazetteer of
-cue words or issuers, the words before, and the shape of the digits. The votes are counted per pattern of votes; from the counts,
-expectation-maximisation estimates how far each labeler can be trusted, and a logistic classifier is
-trained on its soft labels. All text work is SQL expressions; only the counts, at most 81 per kind, reach the driver.
+numbers like local phones, strings like credentials) are voted on by five labelers: a strict pattern, a gazetteer of
+cue words or issuers, the words before, the shape of the characters, and a checksum. The votes are counted; from the counts
+expectation-maximisation estimates how far each labeler can be trusted. Some patterns of votes are anchors that it
+does not move: a cue word right before the candidate speaks for it, a word such as "order" or "isbn" against it, and so does a failed
+checksum without any cue. On the soft labels a logistic classifier is trained, which does not see the votes but what the span looks like and
+what stands before it. All text work is SQL expressions; only counts per votes and features, whose number has a bound, reach the driver.
 
 Texts are split at their matches by marks from the private use area. Where a text holds such characters itself, they are read as
 U+FFFD, which no pattern matches.
@@ -22,7 +24,8 @@ from trapline.session import settle
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("account", "dial", "secret")
-LABELERS = ("strict", "gazetteer", "context", "shape")
+LABELERS = ("strict", "gazetteer", "context", "shape", "checksum")
+FEATURES = ("length", "form", "start", "word", "check")  # small whole numbers that describe a candidate to the classifier
 THRESHOLD = 0.5
 _CONTEXT = 24  # characters before a candidate that the labelers look at
 _BLOCK = 128  # matches whose places are summed up in one go
@@ -149,7 +152,28 @@ def _votes(kind: str, value: Column, before: Column) -> Column:
         gazetteer = _vote(cue.rlike(f"(?:{_SECRET_WORDS})"), never)
     context = _vote(cue.rlike(f"(?:{_CUES[kind]})[^a-z]*$"), cue.rlike(f"(?:{_AGAINST})[^a-z]*$"))
     shape = _vote(F.size(F.array_distinct(F.split(F.lower(value), ""))) >= 8, value.rlike(r"(.)\1{5}"))
-    return F.struct(*[v.cast("int").alias(n) for n, v in zip(LABELERS, (strict, gazetteer, context, shape))])
+    checksum = _vote(_luhn(digits), ~_luhn(digits)) if kind == "account" else F.lit(0)
+    return F.struct(*[v.cast("int").alias(n) for n, v in zip(LABELERS, (strict, gazetteer, context, shape, checksum))])
+
+
+def _features(kind: str, value: Column, before: Column) -> Column:
+    """What the classifier sees of a candidate, each feature one of at most twenty numbers."""
+    digits, cue = _digits(value), F.lower(before)
+    word = (
+        F.when(cue.rlike(f"(?:{_CUES[kind]})[^a-z]*$"), 1).when(cue.rlike(f"(?:{_AGAINST})[^a-z]*$"), 2)
+        .when(cue.rlike(f"(?:{_CUES[kind]})"), 3).when(cue.rlike(r"\+[0-9]{1,3} ?$"), 4).when(cue.rlike("[0-9]$"), 5).otherwise(0)
+    )
+    if kind == "secret":
+        size = F.length(value)
+        length = F.when(size < 32, 0).when(size == 32, 1).when(size < 40, 2).when(size == 40, 3).when(size < 64, 4).when(size == 64, 5).otherwise(6)
+        form = F.when(value.rlike("^[0-9a-f]+$"), 0).when(value.rlike("^[0-9A-Z]+$"), 1).when(value.rlike("^[A-Za-z0-9]+$"), 2).otherwise(3)
+        check = F.least(F.length(digits), F.lit(12))
+    else:
+        length = F.least(F.length(digits), F.lit(19))
+        form = F.when(value.contains("-"), 1).when(value.contains(" "), 2).when(value.contains("("), 3).when(value.contains("."), 4).otherwise(0)
+        check = _luhn(digits).cast("int") if kind == "account" else value.rlike("[2-9][0-9]{2}[ .-][0-9]{4}$").cast("int")
+    start = F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(10))
+    return F.struct(*[v.cast("int").alias(n) for n, v in zip(FEATURES, (length, form, start, word, check))])
 
 
 _FOUND_IN = {"account": "card", "dial": "dial", "secret": "secret"}
@@ -171,7 +195,11 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     def voted(kind: str) -> Column:
         possible = F.filter(f"__{_FOUND_IN[kind]}", lambda s: _may_be(kind, s["value"]))
         return F.transform(
-            possible, lambda s: F.struct(place(kind, s).alias("span"), _votes(kind, s["value"], s["before"]).alias("votes"))
+            possible,
+            lambda s: F.struct(
+                place(kind, s).alias("span"), _votes(kind, s["value"], s["before"]).alias("votes"),
+                _features(kind, s["value"], s["before"]).alias("features"),
+            ),
         )
 
     base = F.concat(*[passing(k) for k in BASE_KINDS])
@@ -183,78 +211,105 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Weights of a logistic classifier: a bias per kind and a weight per labeler and kind."""
+    """Weights of a logistic classifier: a bias per kind, and a weight per kind, feature and value."""
 
     bias: dict[str, float]
-    weights: dict[tuple[str, str], float]
+    weights: dict[tuple[str, str, int], float]
 
-    def accepts(self, kind: Column, votes: Column) -> Column:
-        """Whether a candidate is taken for personal data."""
+    def accepts(self, kind: Column, features: Column) -> Column:
+        """Whether a candidate is taken for personal data. Values not seen in training weigh nothing; a kind not seen is not accepted."""
         score = F.lit(None).cast("double")
-        for name in ADDED_KINDS:
-            own = F.lit(self.bias.get(name, 0.0))
-            for labeler in LABELERS:
-                own = own + votes[labeler] * F.lit(self.weights.get((name, labeler), 0.0))
+        for name in self.bias:
+            own = F.lit(self.bias[name])
+            for feature in FEATURES:
+                known = [(value, w) for (k, f, value), w in sorted(self.weights.items()) if (k, f) == (name, feature)]
+                weight = F.lit(0.0)
+                for value, w in known:
+                    weight = F.when(features[feature] == value, w).otherwise(weight)
+                own = own + weight
             score = F.when(kind == name, own).otherwise(score)
-        return score >= math.log(THRESHOLD / (1 - THRESHOLD))
+        return F.coalesce(score >= math.log(THRESHOLD / (1 - THRESHOLD)), F.lit(False))
+
+
+def anchor(kind: str, votes: tuple[int, ...]) -> float | None:
+    """Probability that a pattern of votes is given from the start, if it is."""
+    cast = dict(zip(LABELERS, votes))
+    if cast["context"]:
+        return 0.97 if cast["context"] > 0 else 0.03
+    if kind == "secret" and (cast["gazetteer"] > 0 or cast["strict"] < 0):
+        return 0.97 if cast["gazetteer"] > 0 else 0.03
+    if cast["checksum"] < 0 or kind == "dial" and cast["strict"] < 0:
+        return 0.03
+    return None
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
+def estimate(kind: str, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
     """Probability of each pattern of votes to be personal data, by expectation-maximisation.
 
-    A labeler is described by how often it votes 1, 0, -1 on true and on false spans. It starts from the mean vote.
+    A labeler is described by how often it votes 1, 0, -1 on true and on false spans. Anchors keep their probability; the others start
+    even. Neither class can die out, as two spans of one vote throughout are added, one true and one false.
     """
-    truth = [1 / (1 + math.exp(-2 * sum(v))) for v, _ in patterns]
+    sure = [(((1,) * len(LABELERS)), 1, 1.0), (((-1,) * len(LABELERS)), 1, 0.0)]
+    rows = [(votes, n, anchor(kind, votes)) for votes, n in patterns] + sure
+    truth = [0.5 if fixed is None else fixed for _, _, fixed in rows]
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        positive = sum(n * p for (_, n), p in zip(patterns, truth))
-        prior = (positive + 1) / (total + 2)
+        total = sum(n for _, n, _ in rows)
+        prior = (sum(n * p for (_, n, _), p in zip(rows, truth)) + 1) / (total + 2)
         rates = []
         for at in range(len(LABELERS)):
             seen = {
-                (y, v): 1.0 + sum(n * (p if y else 1 - p) for (votes, n), p in zip(patterns, truth) if votes[at] == v)
+                (y, v): 1.0 + sum(n * (p if y else 1 - p) for (votes, n, _), p in zip(rows, truth) if votes[at] == v)
                 for y in (0, 1) for v in (-1, 0, 1)
             }
             rates.append({(y, v): seen[y, v] / sum(seen[y, u] for u in (-1, 0, 1)) for y, v in seen})
-        truth = []
-        for votes, _ in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(r[1, v] / r[0, v]) for r, v in zip(rates, votes))
-            truth.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
-    return truth
+        for place, (votes, _, fixed) in enumerate(rows):
+            if fixed is None:
+                odds = math.log(prior / (1 - prior)) + sum(math.log(r[1, v] / r[0, v]) for r, v in zip(rates, votes))
+                truth[place] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+    return truth[: len(patterns)]
+
+
+def _train(examples: list[tuple[tuple[int, ...], float, float]], rounds: int = 300) -> tuple[float, dict[tuple[str, int], float]]:
+    """Bias and weights from features, soft labels and counts, by gradient descent on one weight per feature and value."""
+    total = sum(n for _, _, n in examples)
+    bias, weights = 0.0, {(f, v): 0.0 for x, _, _ in examples for f, v in zip(FEATURES, x)}
+    for _ in range(rounds):
+        slope, slopes = 0.0, {key: -0.001 * w for key, w in weights.items()}
+        for x, p, n in examples:
+            keys = list(zip(FEATURES, x))
+            score = bias + sum(weights[k] for k in keys)
+            step = n / total * (p - 1 / (1 + math.exp(-max(-50.0, min(50.0, score)))))
+            slope += step
+            for k in keys:
+                slopes[k] += step
+        bias += slope
+        for k, g in slopes.items():
+            weights[k] += 2.0 * g
+    return round(bias, 6), {k: round(w, 6) for k, w in weights.items()}
 
 
 def fit(found: DataFrame) -> SpanClassifier:
     """Classifier of the candidates in ``found``, the result of ``find_candidates`` over a corpus.
 
-    Every candidate of the corpus is counted. Without candidates of a kind, its weights are 0, which accepts nothing that
-    is not there.
+    Every candidate of the corpus is counted. A kind without candidates has no weights, and none of it is accepted.
     """
-    counted = (
-        found.select(F.explode("candidates").alias("c")).groupBy("c.span.kind", *[f"c.votes.{n}" for n in LABELERS]).count().collect()
-    )
+    keys = ["c.span.kind", *[f"c.votes.{n}" for n in LABELERS], *[f"c.features.{n}" for n in FEATURES]]
+    counted = found.select(F.explode("candidates").alias("c")).groupBy(*keys).count().collect()
     bias, weights = {}, {}
     for kind in ADDED_KINDS:
-        patterns = sorted((tuple(r[n] for n in LABELERS), r["count"]) for r in counted if r["kind"] == kind)
-        if not patterns:
+        rows = sorted((tuple(r[n] for n in LABELERS), tuple(r[n] for n in FEATURES), r["count"]) for r in counted if r["kind"] == kind)
+        if not rows:
             continue
-        truth = estimate(patterns)
-        total, w = sum(n for _, n in patterns), [0.0] * (len(LABELERS) + 1)
-        for _ in range(500):
-            slope = [-0.01 * x for x in w]
-            for (votes, n), p in zip(patterns, truth):
-                x = (1, *votes)
-                q = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(a * b for a, b in zip(w, x))))))
-                slope = [g + n / total * (p - q) * b for g, b in zip(slope, x)]
-            w = [a + 0.5 * g for a, g in zip(w, slope)]
-        bias[kind] = w[0]
-        weights |= {(kind, name): round(x, 6) for name, x in zip(LABELERS, w[1:])}
-        bias[kind] = round(bias[kind], 6)
+        votes = sorted({v for v, _, _ in rows})
+        truth = dict(zip(votes, estimate(kind, [(v, sum(n for w, _, n in rows if w == v)) for v in votes])))
+        bias[kind], own = _train([(x, truth[v], n) for v, x, n in rows])
+        weights |= {(kind, *key): w for key, w in own.items()}
     return SpanClassifier(bias, weights)
 
 
 def spans_of(found: DataFrame, classifier: SpanClassifier) -> DataFrame:
     """``found`` with ``spans``: the base spans, then the accepted candidates, by kind and start."""
-    taken = F.filter("candidates", lambda c: classifier.accepts(c["span"]["kind"], c["votes"]))
+    taken = F.filter("candidates", lambda c: classifier.accepts(c["span"]["kind"], c["features"]))
     return found.withColumn("spans", F.concat("base", F.transform(taken, lambda c: c["span"])))
 
 
@@ -274,34 +329,34 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, classifier: SpanClassifier, text: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced by its kind in angle brackets; a missing text stays missing.
+# SQL: ``text`` with the spans ``cuts``, sorted by start, replaced by their kinds; a span that begins inside another goes with it.
+# A block of spans is cut from the part of the text that it takes up, so that time stays in proportion to the text.
+_REDACTED = f"""aggregate(sequence(0, (size(cuts) - 1) div {_BLOCK}), named_struct('at', 0, 'out', cast(array() as array<string>)),
+  (acc, c) -> transform(array(slice(cuts, c * {_BLOCK} + 1, {_BLOCK})), part ->
+    transform(array(substring(text, acc.at + 1, greatest(array_max(transform(part, s -> s.end)) - acc.at, 0))), piece ->
+      aggregate(part, named_struct('at', acc.at, 'out', cast(array() as array<string>)),
+        (a, s) -> if(s.start >= a.at,
+          named_struct('at', s.end, 'out', concat(a.out, array(substring(piece, a.at - acc.at + 1, s.start - a.at), concat('<', upper(s.kind), '>')))),
+          named_struct('at', greatest(a.at, s.end), 'out', a.out)),
+        a -> named_struct('at', a.at, 'out', concat(acc.out, a.out))))[0])[0],
+  acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"""
 
-    Kind after kind, each over the text the ones before have left, so that a span inside another goes with it.
-    """
 
-    def replaced(kind: str, piece: Column, before: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for added, source in _FOUND_IN.items():
-            if source == kind:
-                votes = _votes(added, piece, F.right(before, F.lit(_CONTEXT)))
-                accepted = _may_be(added, piece) & classifier.accepts(F.lit(added), votes)
-                found = F.when(accepted, f"<{added.upper()}>").otherwise(found)
-        if kind in BASE_KINDS:
-            found = F.when(_passes(kind, piece), f"<{kind.upper()}>").otherwise(found)
-        return F.coalesce(found, piece)
+def _by_start(spans: Column) -> Column:
+    """Spans by start, the longer first, then by kind."""
+    return F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end")))
+    )
 
-    def without(kind: str) -> Column:
-        def piece(p: Column, i: Column) -> Column:
-            return F.when(i % 2 == 1, replaced(kind, p, F.element_at("__pieces", i))).otherwise(p)
 
-        return F.array_join(F.transform("__pieces", piece), "")
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the personal data that ``detect`` finds in them replaced by its kind in angle brackets.
 
+    The spans are found once and stored with the rows; of spans that overlap, the first gives the kind, and all are replaced. A missing text stays missing, a text without personal data as it is.
+    """
     own = docs.columns
-    rows = docs.withColumn("__text", _readable(F.col(text)))
-    for kind in _PATTERNS:
-        rows = rows.withColumn("__pieces", _pieces(kind, F.col("__text")))
-        left = F.when(F.size("__pieces") > 1, _unmasked(without(kind))).otherwise(F.col("__text"))
-        rows = rows.withColumn("__text", left)
-    changed = F.when(F.col(text).isNotNull(), F.when(F.col("__text") != _readable(F.col(text)), F.col("__text")).otherwise(F.col(text)))
-    return rows.withColumn(text, changed).select(*own)
+    rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("own"), F.col(text).cast("string").alias("text"))
+    found = settle(find_candidates(rows.withColumn("kept", F.col("text"))))
+    marked = spans_of(found, fit(found)).select("own", F.col("kept").alias("text"), _by_start(F.col("spans")).alias("cuts"))
+    changed = marked.select("own", F.expr(f"if(size(cuts) > 0, {_REDACTED}, text)").alias("text"))
+    return changed.select(*[F.col("text").alias(c) if c == text else F.col("own")[c].alias(c) for c in own])

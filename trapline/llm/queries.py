@@ -32,7 +32,7 @@ def op1_mixing(spark: SparkSession, directory: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     """Component of near-copies of every document."""
-    found = near_duplicates(_table(spark, directory, "documents"))
+    found = near_duplicates(_table(spark, directory, "documents")).drop("text_hash")
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 

@@ -50,15 +50,19 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (bigint) of every row, whole texts read in Arrow batches."""
+    """``doc_id``, ``text_hash`` (XXH64) and ``fingerprint`` (bigint) of every row, whole texts read in Arrow batches."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fingerprint"])
+            prints = [fingerprint(t, words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["doc_id", "text_hash", "fingerprint"]
+            )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("text"))
-    return rows.mapInArrow(compute, "doc_id bigint, fingerprint bigint")
+    rows = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.encode(F.col(text), "UTF-8").alias("text")
+    )
+    return rows.mapInArrow(compute, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def _chain(prints: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
@@ -120,7 +124,7 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """``doc_id``, ``fingerprint`` and ``component_id`` (smallest id reachable) of every document.
+    """``doc_id``, ``text_hash``, ``fingerprint`` and ``component_id`` (smallest id reachable) of every document.
 
     A missing text counts as empty; texts without words have fingerprint 0 and are linked like others.
     Rows with equal id or text are kept as they are, in one component. A row without id is linked to nothing
@@ -136,7 +140,7 @@ def near_duplicates(
     )
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = labelled.join(least, "component").select("fingerprint", "component_id")
-    joined = known.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    joined = known.join(ids, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
     return joined.unionByName(
         prints.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("bigint"))
     )
