@@ -15,7 +15,7 @@ from trapline.llm import show_package
 from trapline.llm.decontaminate import contaminated
 from trapline.llm.langid import UNDETERMINED, fit, identify
 from trapline.llm.mixing import mix
-from trapline.llm.pii import detect, redact
+from trapline.llm.pii import redact
 from trapline.llm.simhash import near_duplicates
 from trapline.session import settle
 
@@ -30,10 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-copies. Of rows that repeat id and text one stays; rows without id all do."""
-    labels = near_duplicates(docs)
-    keepers = labels.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document with the smallest id of every group of near-copies; of several texts under that id one. Rows without id all stay."""
+    keepers = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    own = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash"))
+    kept = docs.alias("d").join(keepers.alias("k"), own, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
@@ -45,8 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind, ``n_chars`` as it is then."""
-    _, classifier = detect(docs)
-    changed = redact(docs, classifier)
+    changed = redact(docs)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
