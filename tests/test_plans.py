@@ -83,16 +83,16 @@ def test_choices_reach_the_scan(spark, tmp_path, small_dir):
     store_prepared(recorded, f"{tmp_path}/clean")
     survey = open_survey(spark, f"{tmp_path}/clean", prepared=True)
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    text = plan(associations._rollup(survey.pathogen, ["Red bolt"], ["Brand#3"], False))
+    text = plan(associations._rollup(survey.pathogen, ["Red bolt"], ["Brand#3"], associations.PREPARED))
     assert "EqualTo(classification,Red bolt)" in text and "EqualTo(pathogen_clean,Brand#3)" in text
     assert "lon" not in re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
     assert "regexp_replace" not in text
     # From raw names, labels are made above the first aggregate only.
     raw = spark.read.parquet(f"{tmp_path}/raw/pathogen.parquet")
-    text = plan(associations._rollup(raw, ["Red bolt"], ["Brand#3"], True))
+    text = plan(associations._rollup(raw, ["Red bolt"], ["Brand#3"], associations.RAW))
     assert "regexp_replace" not in text[text.rindex("HashAggregate") :]
-    assert sorted(associations._rollup(raw, ["Red bolt"], None, True).collect(), key=str) == sorted(
-        associations._rollup(survey.pathogen, ["Red bolt"], None, False).collect(), key=str
+    assert sorted(associations._rollup(raw, ["Red bolt"], None, associations.RAW).collect(), key=str) == sorted(
+        associations._rollup(survey.pathogen, ["Red bolt"], None, associations.PREPARED).collect(), key=str
     )
     points = survey.pathogen.select("ord", "lon", "lat")
     text = plan(join_points_in_regions(points, survey.level_2, "region_id"))
