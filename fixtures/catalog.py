@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +49,9 @@ from trapline.operators.spatial import (
     studies_by_region,
 )
 from trapline.plans import associations, microbes, sites, species, studies
-from trapline.session import shared_folder
+from trapline.session import new_folder
 from trapline.sources.borders import load_borders, write_borders
+from trapline.sources.layers import open_points, store_points
 from trapline.sources.paging import PagedTable, open_pages, store_pages
 from trapline.sources.rollups import append_rollup, compact_rollup, open_rollup, store_rollup
 from trapline.sources.tables import load_regions, load_table, union_regions, with_lon_lat
@@ -201,7 +201,7 @@ def _(s: Survey) -> DataFrame:
 def _paged_studies(s: Survey) -> PagedTable:
     """The study table stored in the order of the years, in folders of 2,000 rows."""
     spark = s.studies.sparkSession
-    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     store_pages(_study_columns(s), folder, "unique_id", [F.col("year_published").desc_nulls_last()], 2_000)
     return open_pages(spark, folder, 2_000)
 
@@ -646,7 +646,7 @@ def _(s: Survey) -> DataFrame:
 
 def _stored(s: Survey, df: DataFrame) -> str:
     """Folder with ``df`` as a single table in the cluster's shared folder."""
-    folder = f"{shared_folder(df.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     df.write.parquet(f"{folder}/level_2_sites.parquet")
     return folder
 
@@ -656,7 +656,7 @@ def _stored(s: Survey, df: DataFrame) -> str:
     "select cast(region_id as varchar) as region_id, name_2, count(*) + 1 as outline_points from fx_district_edges group by 1, 2",
 )
 def _(s: Survey) -> DataFrame:
-    folder = f"{shared_folder(s.districts.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(s.districts.sparkSession)
     s.districts.withColumn("country", F.col("gid_0")).write.partitionBy("country").parquet(folder)
     points = F.size(F.flatten("ring")).cast("bigint").alias("outline_points")
     return load_regions(s.districts.sparkSession, folder).select("region_id", "name_2", points)
@@ -671,7 +671,7 @@ select cast(region_id as varchar) as region_id, name_2, gid_0, seq, x, y from p"
 
 def _through_files(s: Survey, regions: DataFrame, properties: list[str], form: str) -> DataFrame:
     spark = regions.sparkSession
-    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     write_borders(regions, folder, properties, form)
     return load_borders(spark, folder, {p: p for p in properties}, form)
 
@@ -714,7 +714,7 @@ select ord, cast(unique_id as varchar) as unique_id, lon, lat from (select * rep
  row_number() over (partition by lon, lat order by ord) as rn from fx_spatial) where rn = 1""",
 )
 def _(s: Survey) -> DataFrame:
-    folder = f"{shared_folder(s.spatial.sparkSession)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(s.spatial.sparkSession)
     s.spatial.orderBy("ord").drop("ord").write.option("maxRecordsPerFile", 2_000).parquet(f"{folder}/spatial.parquet")
     return sites.distinct_sites(load_table(s.spatial.sparkSession, folder, "spatial")).select("ord", "unique_id", "lon", "lat")
 
@@ -993,6 +993,13 @@ def _(s: Survey) -> DataFrame:
     return microbes.detection_layer(s.pathogen, PATHOGENS)
 
 
+@check("detection_layer_in_a_view", f"select * from ({_detection_layer('true')}) where lon between -5.5 and 2.25 and lat between 6 and 11.5")
+def _(s: Survey) -> DataFrame:
+    folder = new_folder(s.raw_pathogen.sparkSession)
+    store_points(microbes.detection_layer(s.pathogen, [K.ALL]), folder, 2_000)
+    return open_points(s.raw_pathogen.sparkSession, folder).in_box(-5.5, 6, 2.25, 11.5)
+
+
 _CLUSTERS = " union all ".join(
     f"select {z} as zoom, cast(floor(lon / {cell_degrees(z)}) as bigint) as cx, "
     f"cast(floor(lat / {cell_degrees(z)}) as bigint) as cy, lon, lat from fx_pathogen where {_DETECTED}"
@@ -1010,6 +1017,12 @@ def _(s: Survey) -> DataFrame:
     return rounded(microbes.detection_clusters(s.pathogen, ZOOMS), lon=6, lat=6)
 
 
+# Going through markers one by one is no SQL; tests compare with a plain loop.
+@check("detection_markers", None)
+def _(s: Survey) -> DataFrame:
+    return rounded(microbes.detection_markers(s.pathogen, ZOOMS), mean_lon=6, mean_lat=6)
+
+
 @check(
     "median_samples_per_microbe",
     "select pathogen_tested, median(samples_tested) as median from fx_pathogen group by 1",
@@ -1099,7 +1112,7 @@ def _(s: Survey) -> DataFrame:
 def _stored_rollup(s: Survey, compact: bool = False) -> DataFrame:
     """The rollup of two thirds of the assays, joined by that of the rest, which holds the same studies."""
     spark = s.raw_pathogen.sparkSession
-    folder = f"{shared_folder(spark)}/trapline-fixture-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     store_rollup(associations.clean_study_rollup(s.raw_pathogen.filter("ord % 3 <> 0")), folder)
     append_rollup(associations.clean_study_rollup(s.raw_pathogen.filter("ord % 3 = 0")), folder)
     if compact:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 from functools import cache, cached_property
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.sources.tables import load_table
+from trapline.session import own_folder
+from trapline.sources.tables import laid_out, load_table
+from trapline.survey import LAYOUT
 
 # Columns read from each test table.
 SOURCES = {
@@ -257,9 +260,14 @@ class Survey:
     def raw_pathogen(self) -> DataFrame:
         return self._view(VIEWS["fx_pathogen"])
 
-    @cached_property
+    @property
     def pathogen(self) -> DataFrame:
-        return prepare_pathogen(self.raw_pathogen)
+        """The prepared assays, cleaned and laid out once per session, as a survey is when it is taken in."""
+        path = f"{own_folder(self._spark)}/survey-{sha256(self._directory.encode()).hexdigest()[:16]}/pathogen.parquet"
+        done = self._spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(done):
+            laid_out(prepare_pathogen(self.raw_pathogen), LAYOUT["pathogen"]).write.mode("overwrite").parquet(path)
+        return self._spark.read.parquet(path)
 
     @cached_property
     def level_0(self) -> DataFrame:

@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from trapline.operators.rollup import host_pathogen, host_pathogen_of_studies, study_rollup
+from trapline.plans import associations
+from trapline.sources.rollups import append_rollup, compact_rollup, drop_old_rollups, open_rollup, store_rollup
+
+SCHEMA = (
+    "unique_id string, country string, iso3c string, classification string, pathogen_clean string, assay string, number bigint, samples_tested bigint"
+)
+
+
+def assays(part):
+    rows = []
+    for i in range(400):
+        if i // 7 % 2 == part:
+            rows.append((
+                f"s{i % 4}" if i % 11 else None, "Hot" if i % 3 == 0 else f"C{i % 2}", None if i % 13 == 0 else "X", f"rat_{i % 2}" if i % 17 else "Rat 1",
+                None if i % 19 == 0 else f"p{i % 3}", ["pcr_tested", "pcr_positive", None][i % 3], None if i % 23 == 0 else i, 2 * i,
+            ))
+    return rows
+
+
+@pytest.fixture
+def halves(rows):
+    return rows(assays(0), SCHEMA), rows(assays(1), SCHEMA, 3)
+
+
+def table(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_a_rollup_gives_what_the_rows_give_after_appends_too(spark, halves, tmp_path):
+    one, two = halves
+    both, path = one.unionByName(two), f"{tmp_path}/rollup"
+    assert table(host_pathogen_of_studies(study_rollup(both))) == table(host_pathogen(both))
+    store_rollup(study_rollup(one), path)
+    assert table(host_pathogen_of_studies(open_rollup(spark, path))) == table(host_pathogen(one))
+    append_rollup(study_rollup(two), path)
+    assert table(host_pathogen_of_studies(open_rollup(spark, path))) == table(host_pathogen(both))
+    before = open_rollup(spark, path)
+    compact_rollup(spark, path)
+    assert open_rollup(spark, path).count() == study_rollup(both).count() < before.count()
+    assert table(host_pathogen_of_studies(open_rollup(spark, path))) == table(host_pathogen(both))
+    drop_old_rollups(spark, path)
+    append_rollup(study_rollup(two), path)
+    assert table(host_pathogen_of_studies(open_rollup(spark, path))) == table(host_pathogen(both.unionByName(two)))
+
+
+def test_clean_names_and_choices_reach_the_stored_rollup(spark, halves, tmp_path):
+    one, two = halves
+    path = f"{tmp_path}/rollup"
+    store_rollup(associations.clean_study_rollup(one), path)
+    append_rollup(associations.clean_study_rollup(two), path)
+    both = one.unionByName(two)
+    for hosts, pathogens in ((None, None), (["Rat 1"], ["p1"]), (["Rat 1"], ["All"]), ([], ["p1"]), (["All"], ["p2"])):
+        stored = associations.host_pathogen_table(open_rollup(spark, path), hosts, pathogens, associations.ROLLUP)
+        raw = associations.host_pathogen_table(both, hosts, pathogens, associations.RAW)
+        assert table(stored) == table(raw)
+    chosen = associations._rollup(open_rollup(spark, path), ["Rat 1"], ["p1"], associations.ROLLUP)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(classification,Rat 1)" in plan and "EqualTo(pathogen_clean,p1)" in plan
+
+
+def test_a_hot_country_stays_exact(spark, tmp_path):
+    df = spark.range(0, 30_000, 1, 8).select(
+        (F.col("id") % 9_000).alias("unique_id"), F.when(F.col("id") % 3 == 0, "Hot").otherwise("C").alias("country"), F.lit("X").alias("iso3c"),
+        F.lit("Rat").alias("classification"), F.lit("p").alias("pathogen_clean"), F.lit("pcr_positive").alias("assay"),
+        F.lit(1).cast("bigint").alias("number"), F.lit(2).cast("bigint").alias("samples_tested"),
+    )
+    store_rollup(study_rollup(df), f"{tmp_path}/r")
+    found = {r.country: (r.number_of_studies, r.number_positive) for r in host_pathogen_of_studies(open_rollup(spark, f"{tmp_path}/r")).collect()}
+    assert found == {"Hot": (3_000, 10_000), "C": (6_000, 20_000)}
+
+
+def test_mistakes_are_named(spark, halves, tmp_path):
+    with pytest.raises(ValueError, match="holds no rollup"):
+        open_rollup(spark, f"{tmp_path}/none")
+    with pytest.raises(ValueError, match="holds no rollup"):
+        append_rollup(study_rollup(halves[0]), f"{tmp_path}/none")
+    store_rollup(study_rollup(halves[0]), f"{tmp_path}/r")
+    with pytest.raises(ValueError, match="append_rollup"):
+        store_rollup(study_rollup(halves[0]), f"{tmp_path}/r")
+    with pytest.raises(ValueError, match="prepared, raw"):
+        associations.host_pathogen_table(halves[0], form="other")

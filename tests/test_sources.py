@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trapline.functions.geometry import ring_from_wkt
 from trapline.sources import paging
 from trapline.sources.borders import load_borders, write_borders
-from trapline.sources.layers import point_layer, region_layer, write_points, write_regions
+from trapline.sources.layers import box_ranges, open_points, point_layer, region_layer, store_points, write_points, write_regions
 from trapline.sources.paging import open_pages, store_pages, table_page
 from trapline.sources.tables import (
     load_regions,
@@ -221,3 +221,43 @@ def test_order_of_files_and_rows_under_any_split(spark, tmp_path):
 def test_tables_without_order_take_that_of_their_files(spark, tmp_path):
     spark.range(3).selectExpr("concat('s', id) as unique_id", "id as n").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     assert [tuple(r) for r in load_table(spark, str(tmp_path), "t", "ord bigint, unique_id string").orderBy("ord").collect()] == [(1, "s0"), (2, "s1"), (3, "s2")]
+
+
+@pytest.fixture(scope="module")
+def stored_layer(spark, tmp_path_factory):
+    lon = (F.col("id") * 7919 % 36_001) / 100 - 180
+    lat = F.when(F.col("id") % 3 == 0, 10.5).otherwise((F.col("id") * 104_729 % 18_001) / 100 - 90)
+    spots = spark.range(0, 20_000, 1, 5).select(F.when(F.col("id") % 3 == 0, 20.25).otherwise(lon).alias("lon"), lat.alias("lat"), F.col("id").cast("string").alias("popup"))
+    layer = point_layer(spots, "l", F.lit("red"), 3, F.col("popup"))
+    path = str(tmp_path_factory.mktemp("layer"))
+    store_points(layer, path, 500)
+    return layer, open_points(spark, path)
+
+
+@pytest.mark.parametrize("box", [(-10, -10, 30, 30), (20.25, 10.5, 20.25, 10.5), (-180, -90, 180, 90), (170, -20, -170, 20), (5, 5, 6, 6), (100, 89.5, 101, 90), (179.9, -90, 180, 90)])
+def test_a_view_has_the_points_of_a_full_filter(stored_layer, box):
+    layer, stored = stored_layer
+    west, south, east, north = box
+    across = F.col("lon").between(west, east) if west <= east else (F.col("lon") >= west) | (F.col("lon") <= east)
+    expected = layer.filter(across & F.col("lat").between(south, north))
+    assert sorted(map(tuple, stored.in_box(*box).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_view_reads_few_folders(stored_layer):
+    _, stored = stored_layer
+
+    def folders(west, south, east, north):
+        return {f for a, b, _, _ in stored._held([(west, east)], south, north) for f in range(a, b + 1)}
+
+    assert len(folders(-180, -90, 180, 90)) == 40 and len(folders(100, 20, 110, 30)) <= 6
+    assert 13 <= len(folders(20.25, 10.5, 20.25, 10.5)) <= 16 and stored.in_box(20.25, 10.5, 20.25, 10.5).count() == 6_667
+    plan = stored.in_box(100, 20, 110, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "__folder" in plan.split("PartitionFilters: [")[1].split("]")[0] and "__key" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_ranges_of_a_box():
+    assert box_ranges(-180, -90, 180, 90) == [(0, (1 << 40) - 1)]
+    for box in ((1, 2, 3, 4), (-180, -90, -179, -89), (-0.5, -0.5, 0.5, 0.5)):
+        ranges = box_ranges(*box)
+        assert 1 <= len(ranges) <= 64 and all(a <= b for a, b in ranges) and all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+        assert sum(b - a + 1 for a, b in ranges) < 3 * (box[2] - box[0]) * (box[3] - box[1]) / 360 / 180 * (1 << 40) + 64

@@ -16,7 +16,7 @@ from trapline.operators.choices import (
     filter_not_contains,
     with_sentinel,
 )
-from trapline.operators.clusters import cluster_points
+from trapline.operators.clusters import cluster_markers, cluster_points
 from trapline.operators.joins import left_join_na
 from trapline.operators.order import rank_by_value
 from trapline.operators.rollup import assay_totals, count_by, distinct_by
@@ -79,5 +79,12 @@ def detection_layer(pathogen: DataFrame, microbes: Sequence[str] | None = None)
 def detection_clusters(
     pathogen: DataFrame, zooms: Sequence[int], microbes: Sequence[str] | None = None
 ) -> DataFrame:
-    """Clustered record counts of the detection layer."""
+    """Clustered record counts of the detection layer, by cells of a grid."""
     return cluster_points(detections(pathogen, microbes), zooms)
+
+
+def detection_markers(
+    pathogen: DataFrame, zooms: Sequence[int], microbes: Sequence[str] | None = None
+) -> DataFrame:
+    """Clustered record counts of the detection layer, by distance, as a map joins its markers."""
+    return cluster_markers(detections(pathogen, microbes), zooms)

@@ -39,10 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """The session's folder in the shared one; ``release`` removes it with all that lies in it."""
     return f"{shared_folder(spark)}/trapline-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder that is not there yet, in the session's own."""
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, to a table in the shared folder, and continue from the stored rows.
 
@@ -51,7 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     what the session has stored.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,7 +67,7 @@ def settle_by(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{_TABLE}{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.bucketBy(buckets, key).option("path", f"{_own_folder(spark)}/{name}").option("compression", "zstd")
+    writer = df.write.bucketBy(buckets, key).option("path", f"{own_folder(spark)}/{name}").option("compression", "zstd")
     writer.saveAsTable(name)
     return spark.table(name)
 
@@ -71,5 +77,5 @@ def release(spark: SparkSession) -> None:
     for table in spark.catalog.listTables():
         if table.name.startswith(_TABLE):
             spark.sql(f"drop table if exists {table.name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -66,6 +66,17 @@ def with_file_order(stored: DataFrame, name: str = "ord") -> DataFrame:
     return rows.join(starts, "__file").select(*stored.columns, number.alias(name))
 
 
+def laid_out(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows dealt over as many files as there are shuffle partitions, in ranges of ``columns``, sorted by them.
+
+    A choice of their values then reaches few files and row groups. End with a column that tells the rows of one value
+    apart, so that a value that holds most of the rows is spread.
+    """
+    keys = list(columns)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
 def load_table(
     spark: SparkSession,
     directory: str,

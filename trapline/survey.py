@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.sources.tables import load_table, table_schema
+from trapline.sources.tables import laid_out, load_table, table_schema
 
-# Tables that are cleaned when they are taken in.
+# Tables that are cleaned when they are taken in, and the order in which they are stored for choices.
 PREPARED = {"species": prepare_species, "pathogen": prepare_pathogen}
+LAYOUT = {"species": ("classification", "ord"), "pathogen": ("classification", "pathogen_clean", "ord")}
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,11 @@ def open_survey(
 
 
 def store_prepared(survey: Survey, directory: str, suffix: str = ".parquet") -> None:
-    """Write the cleaned tables of a survey, for ``open_survey(..., prepared=True)``."""
+    """Write the cleaned tables of a survey, for ``open_survey(..., prepared=True)``.
+
+    Tables that choices are made from are laid out by what is chosen.
+    """
     for name in Survey.__dataclass_fields__:
-        getattr(survey, name).write.parquet(f"{directory.rstrip('/')}/{name}{suffix}")
+        table = getattr(survey, name)
+        laid = laid_out(table, LAYOUT[name]) if name in LAYOUT else table
+        laid.write.parquet(f"{directory.rstrip('/')}/{name}{suffix}")
