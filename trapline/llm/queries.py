@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from trapline.llm.pii import BASE_KINDS, detect, span_text
 from trapline.llm.simhash import near_duplicates
 from trapline.llm.tokens import count_tokens
 from trapline.llm.warc import read_archives, write_archives
-from trapline.session import shared_folder
+from trapline.session import new_folder
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -66,7 +64,7 @@ def op6_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
     """Every page, written to archives in the shared folder and read back."""
-    folder = f"{shared_folder(spark)}/trapline-warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     manifest = write_archives(_table(spark, directory, "pages"), folder)
     return read_archives(manifest).drop("url", "payload")
 
@@ -82,7 +80,7 @@ def op9_tokens(spark: SparkSession, directory: str) -> DataFrame:
     """Tokens of every document. The cache starts empty, so that every content is encoded."""
     import public_tokenizers
 
-    cache = f"{shared_folder(spark)}/trapline-token-cache-{uuid.uuid4().hex}"
+    cache = new_folder(spark)
     return count_tokens(_table(spark, directory, "documents"), cache, public_tokenizers.path("word_bpe_49k.json"))
 
 
