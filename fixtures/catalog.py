@@ -19,7 +19,7 @@ from trapline.functions.text import (
     sentence_case,
     speciation_label,
 )
-from trapline.operators.choices import filter_groups, filter_in, filter_reported, filter_selected
+from trapline.operators.choices import filter_groups, filter_in, filter_reported, filter_selected, value_list
 from trapline.operators.clusters import cell_degrees
 from trapline.operators.joins import left_join_na
 from trapline.operators.order import (
@@ -903,6 +903,13 @@ def _(s: Survey) -> DataFrame:
     return microbes.group_choices(s.pathogen)
 
 
+# The list as a user interface holds it, taken up by a choice again.
+@check("rows_of_listed_groups", "select pathogen_group, count(*) as number from fx_pathogen group by 1")
+def _(s: Survey) -> DataFrame:
+    groups = value_list(microbes.group_choices(s.pathogen).filter("position > 0"), "choice")
+    return count_by(filter_in(s.pathogen, "pathogen_group", groups), "pathogen_group")
+
+
 _MOST_MICROBES = "number desc, pathogen_clean nulls last"
 
 
