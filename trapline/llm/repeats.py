@@ -27,7 +27,7 @@ from trapline.session import settle, settle_by
 MIN_BYTES = 400
 GRAM = 128  # bytes of an anchor string, a power of two
 PIECE = 1 << 22  # bytes hashed at once
-GROUP = 4_096  # suffixes of one anchor string that a task compares; beyond, windows are compared by hash
+GROUP = 1_024  # suffixes of one anchor string that a task compares; beyond, windows are compared by hash
 
 _PLACE = 24  # low bits of a window's choice hold the place, the others the hash
 _ANCHORS = "gram bigint, m1 bigint, m2 bigint, n bigint, key binary, start bigint, at bigint, end bigint"
@@ -326,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, with_text: bool = T
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = suffixes(asks.filter(F.col("members") <= group)).repartition(parts, "gram").sortWithinPartitions("gram")
     unequal = few.mapInArrow(_compare(length), _SPAN)
-    windows = suffixes(asks.filter(F.col("members") > group)).mapInArrow(_hash_windows(length), _WINDOW)
+    windows = settle(suffixes(asks.filter(F.col("members") > group)).mapInArrow(_hash_windows(length), _WINDOW))
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     crowded = windows.join(again, ["w1", "w2"]).select("key", "start", (F.col("start") + length).alias("end"))
 
