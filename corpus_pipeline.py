@@ -20,6 +20,7 @@ from trapline.llm.simhash import near_duplicates
 from trapline.session import settle
 
 REPEAT_LIMIT = 2.0  # a source is read at most twice as often as the one with most tokens
+_HASH = "__text_hash"
 _MIX_COLUMNS = ("doc_id", "source", "epoch", "block", "n_tokens", "start_token", "quota", "mix_at")
 
 
@@ -32,8 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-copies; of several texts under that id one. Rows without id all stay."""
     keepers = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    own = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash"))
-    kept = docs.alias("d").join(keepers.alias("k"), own, "left_semi").dropDuplicates(["doc_id", "text"])
+    same = ["doc_id", _HASH]  # texts under one id are told apart by their hash, so that they are moved once
+    hashed = docs.withColumn(_HASH, F.xxhash64("text"))
+    kept = hashed.join(keepers.withColumnRenamed("text_hash", _HASH), same, "left_semi").dropDuplicates(same).drop(_HASH)
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
