@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_TABLE = "trapline_rows_"  # beginning of the names of stored tables
-
-
 def local_session(cpus: int | str = "*", app: str = "trapline") -> SparkSession:
     """A local session for tests and the benchmark. On a cluster use the session you are given."""
     partitions = "8" if cpus == "*" else str(max(int(cpus), 1))
@@ -62,10 +60,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    """Beginning of the names of the tables that this session stores."""
+    return f"trapline_{re.sub('[^a-z0-9]', '_', spark.sparkContext.applicationId.lower())}_"
+
+
 def settle_by(df: DataFrame, key: str) -> DataFrame:
     """As ``settle``, but the stored rows lie in buckets of ``key``, one per shuffle partition: joins on it need not move them again."""
     spark = df.sparkSession
-    name = f"{_TABLE}{uuid.uuid4().hex}"
+    name = f"{_tables(spark)}{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.bucketBy(buckets, key).option("path", f"{own_folder(spark)}/{name}").option("compression", "zstd")
     writer.saveAsTable(name)
@@ -75,7 +78,7 @@ def settle_by(df: DataFrame, key: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Remove the rows this session has stored. DataFrames that read them must be finished."""
     for table in spark.catalog.listTables():
-        if table.name.startswith(_TABLE):
+        if table.name.startswith(_tables(spark)):
             spark.sql(f"drop table if exists {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
