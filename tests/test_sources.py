@@ -137,6 +137,22 @@ def test_search_blocks_hold_all_matches_and_leave_out_others(table, stored):
     assert stored._blocks("12 3") is None
 
 
+def test_search_index_holds_the_trigrams_of_the_words_of_each_block(table, stored):
+    expected = set()
+    for row in stored.rows.collect():
+        text = " ".join(str(row[c]) for c in stored.columns if row[c] is not None).lower()
+        expected |= {(w[i : i + 3], (row["__row"] - 1) // 10) for w in text.split(" ") for i in range(len(w) - 2)}
+    found = [(r.trigram, r.block) for r in stored.trigrams.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_search_index_counts_letters_not_bytes(spark, tmp_path):
+    store_pages(spark.createDataFrame([("a", "Übung 😀é\u2003x yz"), ("b", None)], "k string, v string"), f"{tmp_path}/p", "k")
+    pages = open_pages(spark, f"{tmp_path}/p")
+    for search, keys in (("übu", ["a"]), ("BUNG 😀é", ["a"]), ("😀é x", ["a"]), ("ngx", [])):
+        assert [r.k for r in pages.page(search=search).collect()] == keys
+
+
 FEATURES = [
     {"type": "Feature", "properties": {"GID_0": "AAA", "NAME_0": "A, \"quoted\""}, "geometry": {"type": "Polygon", "coordinates": [
         [[0, 0], [4.25, 0], [4.25, 1e-7], [0, 4], [0, 0]], [[1, 0.5, 9], [2, 0.5, 9], [1, 1, 9], [1, 0.5, 9]]]}},

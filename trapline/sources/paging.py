@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions.missing import ascending, matches_any
 from trapline.operators.order import with_row_id
+from trapline.session import parts_for, settle
 
 FOLDER_ROWS = 100_000  # rows per folder of a stored table
 BLOCK_ROWS = 1_000  # rows per block of the search index; a folder holds whole blocks
@@ -50,10 +51,17 @@ def _row_text(columns: Sequence[str]) -> Column:
     return F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct strings of three letters, white space included."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substring(text, i, 3)), lambda g: F.length(g) == 3))
+def _block_trigrams(rows: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:
+    """The strings of three letters in the words of each block's rows.
+
+    A searched word holds no white space, so strings across words are never asked for. Rows of a block share most of their words, so
+    distinct words are taken first and cut afterwards. Blocks are dealt over ``parts`` partitions once, which serves both steps.
+    """
+    texts = rows.select(_row_text(columns).alias("text"), _block()).repartition(parts, "block")
+    words = texts.select(F.explode(F.split("text", " ")).alias("word"), "block")
+    words = words.filter(F.length("word") >= 3).distinct()
+    places = words.select("*", F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("place"))
+    return places.select(F.substring("word", F.col("place"), F.lit(3)).alias("trigram"), "block").distinct()
 
 
 def filter_table(
@@ -93,7 +101,7 @@ def store_pages(
 ) -> None:
     """Store ``df`` in ``order``, ties by ``key``, for ``open_pages``.
 
-    Rows go out as they were sorted, without another shuffle. Beside them lies a posting table: for every trigram of the rows' texts, the
+    Rows go out as they were sorted, without another shuffle. Beside them lies a posting table: for every trigram of the rows' words, the
     blocks of ``BLOCK_ROWS`` rows that hold it.
     """
     if folder_rows % BLOCK_ROWS:
@@ -102,7 +110,7 @@ def store_pages(
     numbered = with_row_id(df, [*order, *ascending(*keys)], _ROW)
     numbered.withColumn(_FOLDER, F.floor((F.col(_ROW) - 1) / folder_rows)).write.mode(mode).partitionBy(_FOLDER).parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows")
-    grams = stored.select(F.explode(_trigrams(_row_text(df.columns))).alias("trigram"), _block()).distinct()
+    grams = settle(_block_trigrams(stored, df.columns, parts_for(df, 4)))  # a row becomes many words
     grams.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{path}/trigrams")
 
 
