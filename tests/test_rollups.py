@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from trapline import session
 from trapline.operators.rollup import host_pathogen, host_pathogen_of_studies, study_rollup
 from trapline.plans import associations
 from trapline.sources.rollups import append_rollup, compact_rollup, drop_old_rollups, open_rollup, store_rollup
@@ -85,3 +88,41 @@ def test_mistakes_are_named(spark, halves, tmp_path):
         store_rollup(study_rollup(halves[0]), f"{tmp_path}/r")
     with pytest.raises(ValueError, match="prepared, raw"):
         associations.host_pathogen_table(halves[0], form="other")
+
+
+def dealt_over(df):
+    """Numbers of partitions of a plan's shuffles by key."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)}
+
+
+def test_partitions_grow_with_the_files(spark, halves, tmp_path, monkeypatch):
+    one, two = halves
+    path, least = f"{tmp_path}/rows", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one.unionByName(two).write.parquet(path)
+    stored = spark.read.parquet(path)
+    names = {"classification": F.upper("classification")}
+    expected = [table(host_pathogen(stored)), table(host_pathogen(stored, names)), table(study_rollup(stored, names))]
+    assert session.parts_for(stored) == least and session.more_parts(stored) is None and session.parts_for(one) == least
+    size = sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    monkeypatch.setattr(session, "PART_BYTES", size // (2 * least))
+    parts = session.more_parts(stored)
+    assert 2 * least <= parts <= 2 * least + 2 and session.parts_for(stored, 3) > 5 * least
+    found = [host_pathogen(stored), host_pathogen(stored, names), study_rollup(stored, names)]
+    assert [table(f) for f in found] == expected
+    assert dealt_over(found[0]) == {parts, least} and dealt_over(found[1]) == {parts, least} and dealt_over(found[2]) == {parts}
+
+
+def test_a_large_rollup_is_stored_and_added_up_over_more_partitions(spark, halves, tmp_path, monkeypatch):
+    one, two = halves
+    both, path = one.unionByName(two), f"{tmp_path}/rollup"
+    both.write.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(session, "PART_BYTES", 100)
+    least, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.parquet(f"{tmp_path}/rows")
+    store_rollup(study_rollup(rows), path)
+    append_rollup(study_rollup(rows.filter("samples_tested < 0")), path)
+    assert len(list((tmp_path / "rollup" / "generation=000000" / "batch=0").glob("*.parquet"))) > least
+    compact_rollup(spark, path)
+    again = host_pathogen_of_studies(open_rollup(spark, path))
+    assert min(dealt_over(again)) == least < max(dealt_over(again))
+    assert table(again) == table(host_pathogen(both))

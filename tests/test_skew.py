@@ -70,3 +70,19 @@ def test_numbering_spreads_a_hot_key(spark, assays, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 4 and max(sizes) < ROWS / 3
+
+
+def test_a_hot_group_of_a_large_table_is_added_up_in_several_tasks(spark, assays, tmp_path, monkeypatch):
+    from trapline import session
+    from trapline.operators import rollup
+
+    one = assays.withColumns({"unique_id": F.lit(None).cast("bigint"), "country": F.lit("Hot"), "classification": F.lit("Rat")})
+    one.withColumn("number", F.col("value").cast("bigint")).write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    expected = host_pathogen(stored).collect()
+    monkeypatch.setattr(session, "PART_BYTES", 1_000)
+    assert host_pathogen(stored).collect() == expected and expected[0].number_of_studies == 1
+    keys = ["unique_id", *rollup.ROLLUP_KEYS]
+    added = rollup._added_up(stored.select(*keys, "number"), keys, [F.sum("number").alias("n")], [F.sum("n").alias("n")], 64)
+    assert added.collect()[0].n == expected[0].number_positive
+    assert "__lane" in added._jdf.queryExecution().executedPlan().toString().split("hashpartitioning")[2]

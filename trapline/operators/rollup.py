@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline import constants as K
-from trapline.functions.missing import ascending, n_distinct_or_missing, sum_or_missing
+from trapline.functions.missing import ascending, sum_or_missing
 from trapline.operators.choices import filter_not_contains
 from trapline.operators.order import with_running_total
+from trapline.session import more_parts
 
 
 ROLLUP_KEYS = ("country", "iso3c", "classification", "pathogen_clean")
 _MEASURES = ("number", "samples_tested")
+_LANES = 16  # tasks that share the rows of one key, at most
 
 
 def count_by(df: DataFrame, *keys: str, number: str = "number") -> DataFrame:
@@ -65,20 +67,36 @@ def first_row_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     )
 
 
+def _added_up(
+    rows: DataFrame, keys: Sequence[str], totals: Sequence[Column], again: Sequence[Column], parts: int | None
+) -> DataFrame:
+    """``totals`` of the rows per key; ``again`` adds up rows of ``totals``.
+
+    With ``parts``, rows are dealt over so many partitions, by key and by a lane made from their other values. The rows of one key
+    are thus added up in several tasks before they meet.
+    """
+    if parts is None:
+        return rows.groupBy(*keys).agg(*totals)
+    lane = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(_LANES))
+    dealt = rows.withColumn("__lane", lane).repartition(parts, *keys, "__lane")
+    return dealt.groupBy(*keys, "__lane").agg(*totals).repartition(parts, *keys).groupBy(*keys).agg(*again)
+
+
 def host_pathogen(df: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
     """Distinct studies, positives and tested samples per country, host and microorganism.
 
-    ``labels`` turn raw key columns into their clean form. Raw names are then grouped per study
-    first, so that a label is made per group and not per row.
+    Rows are added up per study first, which leaves one row per distinct study to count. ``labels`` turn raw key columns into
+    their clean form after that, so that a label is made per group and not per row.
     """
-    keys = ["country", "iso3c", "classification", "pathogen_clean"]
-    used = ["unique_id", *keys, "assay", "number", "samples_tested"]
-    rows = filter_not_contains(df.select(*used), "assay", K.TESTED).drop("assay")
+    keys, parts = ["unique_id", *ROLLUP_KEYS], more_parts(df)
+    rows = filter_not_contains(df.select(*keys, "assay", *_MEASURES), "assay", K.TESTED).drop("assay")
+    totals = [sum_or_missing(F.col(c)).alias(c) for c in _MEASURES]
+    studies = _added_up(rows, keys, totals, totals, parts)
     if labels:
-        totals = [sum_or_missing(F.col(c)).alias(c) for c in ("number", "samples_tested")]
-        rows = rows.groupBy("unique_id", *keys).agg(*totals).withColumns(labels)
-    return rows.groupBy(*keys).agg(
-        n_distinct_or_missing(F.col("unique_id")).alias("number_of_studies"),
+        named = studies.withColumns(labels)
+        studies = (named.repartition(parts, *keys) if parts else named).groupBy(*keys).agg(*totals)
+    return studies.groupBy(*ROLLUP_KEYS).agg(
+        F.count(F.lit(1)).alias("number_of_studies"),
         sum_or_missing(F.col("number")).alias("number_positive"),
         sum_or_missing(F.col("samples_tested")).alias("number_tested"),
     )
@@ -94,14 +112,17 @@ def study_rollup(df: DataFrame, labels: dict[str, Column] | None = None) -> Data
     totals = [F.count(F.lit(1)).alias("rows")]
     for measure in _MEASURES:
         totals += [F.count(measure).alias(f"known_{measure}"), F.sum(measure).alias(f"sum_{measure}")]
-    parts = rows.groupBy("unique_id", *ROLLUP_KEYS).agg(*totals)
+    names = ["rows", *[f"{part}_{m}" for m in _MEASURES for part in ("known", "sum")]]
+    again = [F.sum(c).alias(c) for c in names]
+    parts = _added_up(rows.drop("assay"), ["unique_id", *ROLLUP_KEYS], totals, again, more_parts(df))
     return merge_studies(parts.withColumns(labels)) if labels else parts
 
 
 def merge_studies(parts: DataFrame) -> DataFrame:
     """Rows of one or several study rollups, one per (keys, study)."""
-    keys = ["unique_id", *ROLLUP_KEYS]
-    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
+    keys, more = ["unique_id", *ROLLUP_KEYS], more_parts(parts)
+    dealt = parts.repartition(more, *keys) if more else parts
+    return dealt.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
 
 
 def host_pathogen_of_studies(parts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from trapline.operators.rollup import merge_studies
+from trapline.session import more_parts
 
 _GENERATION = re.compile(r"^generation=(\d{6})$")
 
@@ -36,7 +37,9 @@ def _newest(spark: SparkSession, path: str) -> int | None:
 
 def _write(parts: DataFrame, path: str, generation: int, batch: str) -> None:
     keys = ["classification", "pathogen_clean", "country", "iso3c", "unique_id"]
-    laid = parts.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    more = more_parts(parts)
+    ranges = parts.repartitionByRange(more, *keys) if more else parts.repartitionByRange(*keys)
+    laid = ranges.sortWithinPartitions(*keys)
     laid.write.parquet(f"{path}/generation={generation:06}/batch={batch}")
 
 
