@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.plans.ingest import prepare_pathogen, prepare_species
-from trapline.session import own_folder
+from trapline.session import more_parts, own_folder
 from trapline.sources.tables import laid_out, load_table
 from trapline.survey import LAYOUT
 
@@ -236,9 +236,13 @@ class Survey:
             self._tables[name] = load_table(self._spark, self._directory, name, SOURCES[name])
         return self._tables[name]
 
-    def _view(self, sql: str) -> DataFrame:
+    def _view(self, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+        """A view. For large tables those of ``dealt`` are dealt by the key they are joined on, and a shuffled join follows their number."""
         used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-        return self._spark.sql(sql, **{t: self.table(t) for t in used})
+        tables = {t: self.table(t) for t in used}
+        view = self._spark.sql(sql, **tables)
+        parts = more_parts(view) if dealt else None
+        return self._spark.sql(sql, **tables | {t: tables[t].repartition(parts, k) for t, k in dealt.items()}) if parts else view
 
     @cached_property
     def studies(self) -> DataFrame:
@@ -258,7 +262,7 @@ class Survey:
 
     @cached_property
     def raw_pathogen(self) -> DataFrame:
-        return self._view(VIEWS["fx_pathogen"])
+        return self._view(VIEWS["fx_pathogen"], {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"})
 
     @property
     def pathogen(self) -> DataFrame:

@@ -68,6 +68,7 @@ def test_scans_read_only_the_columns_in_use(plans):
 
 def test_choices_reach_the_scan(spark, tmp_path, small_dir):
     from fixtures.views import Survey
+    from trapline.sources.tables import laid_out
     from trapline.operators.spatial import join_points_in_regions
     from trapline.plans import associations
     from trapline.sources.tables import conform, table_schema
@@ -108,6 +109,7 @@ def test_first_rows_are_compared_only_where_they_lead(plans):
 
 def test_selection_follows_the_page(spark, small_dir):
     from fixtures.views import Survey
+    from trapline.sources.tables import laid_out
     from trapline.plans.studies import selected_studies, short_study_table
 
     table = Survey.open(spark, small_dir).studies.select("unique_id", "year_published", "title")
@@ -116,3 +118,25 @@ def test_selection_follows_the_page(spark, small_dir):
     for parts in (1, 3, 16):
         chosen = selected_studies(table.repartition(parts), range(1, 41), sort)
         assert [r.unique_id for r in chosen.orderBy("position").collect()] == page
+
+
+def test_assays_of_large_tables_are_joined_over_more_partitions(spark, small_dir, monkeypatch):
+    import re
+
+    from fixtures.views import Survey
+    from trapline.sources.tables import laid_out
+    from trapline import session
+
+    expected = Survey(spark, small_dir).raw_pathogen
+    monkeypatch.setattr(session, "PART_BYTES", 2_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = Survey(spark, small_dir).raw_pathogen
+        parts = session.more_parts(raw)
+        plan = raw._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "l_partkey", "p_partkey"):
+            assert re.search(rf"hashpartitioning\({key}#\d+L?, {parts}\)", plan), key
+        assert sorted(map(str, raw.collect())) == sorted(map(str, expected.collect()))
+        assert laid_out(raw.select("ord", "country"), ["country", "ord"]).rdd.getNumPartitions() == parts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from trapline.functions.geometry import RING, point_x, point_y
 from trapline.operators.order import with_running_total
+from trapline.session import parts_for
 
 _POINT_COLUMNS = "lon double, lat double"
 
@@ -67,14 +68,13 @@ def with_file_order(stored: DataFrame, name: str = "ord") -> DataFrame:
 
 
 def laid_out(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Rows dealt over as many files as there are shuffle partitions, in ranges of ``columns``, sorted by them.
+    """Rows dealt over as many files as ``parts_for`` says, in ranges of ``columns``, sorted by them.
 
     A choice of their values then reaches few files and row groups. End with a column that tells the rows of one value
     apart, so that a value that holds most of the rows is spread.
     """
     keys = list(columns)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(parts_for(df), *keys).sortWithinPartitions(*keys)
 
 
 def load_table(
