@@ -68,18 +68,21 @@ def first_row_by(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def _added_up(
-    rows: DataFrame, keys: Sequence[str], totals: Sequence[Column], again: Sequence[Column], parts: int | None
+    rows: DataFrame, keys: Sequence[str], totals: Sequence[Column], again: Sequence[Column], parts: int | None,
+    labels: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``totals`` of the rows per key; ``again`` adds up rows of ``totals``.
+    """``totals`` of the rows per key, whose raw columns ``labels`` make clean in between; ``again`` adds up rows of ``totals``.
 
     With ``parts``, rows are dealt over so many partitions, by key and by a lane made from their other values. The rows of one key
     are thus added up in several tasks before they meet.
     """
     if parts is None:
-        return rows.groupBy(*keys).agg(*totals)
+        added = rows.groupBy(*keys).agg(*totals)
+        return added.withColumns(labels).groupBy(*keys).agg(*again) if labels else added
     lane = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(_LANES))
     dealt = rows.withColumn("__lane", lane).repartition(parts, *keys, "__lane")
-    return dealt.groupBy(*keys, "__lane").agg(*totals).repartition(parts, *keys).groupBy(*keys).agg(*again)
+    added = dealt.groupBy(*keys, "__lane").agg(*totals).drop("__lane")
+    return (added.withColumns(labels) if labels else added).repartition(parts, *keys).groupBy(*keys).agg(*again)
 
 
 def host_pathogen(df: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
@@ -88,13 +91,10 @@ def host_pathogen(df: DataFrame, labels: dict[str, Column] | None = None) -> Dat
     Rows are added up per study first, which leaves one row per distinct study to count. ``labels`` turn raw key columns into
     their clean form after that, so that a label is made per group and not per row.
     """
-    keys, parts = ["unique_id", *ROLLUP_KEYS], more_parts(df)
+    keys = ["unique_id", *ROLLUP_KEYS]
     rows = filter_not_contains(df.select(*keys, "assay", *_MEASURES), "assay", K.TESTED).drop("assay")
     totals = [sum_or_missing(F.col(c)).alias(c) for c in _MEASURES]
-    studies = _added_up(rows, keys, totals, totals, parts)
-    if labels:
-        named = studies.withColumns(labels)
-        studies = (named.repartition(parts, *keys) if parts else named).groupBy(*keys).agg(*totals)
+    studies = _added_up(rows, keys, totals, totals, more_parts(df), labels)
     return studies.groupBy(*ROLLUP_KEYS).agg(
         F.count(F.lit(1)).alias("number_of_studies"),
         sum_or_missing(F.col("number")).alias("number_positive"),
@@ -114,8 +114,7 @@ def study_rollup(df: DataFrame, labels: dict[str, Column] | None = None) -> Data
         totals += [F.count(measure).alias(f"known_{measure}"), F.sum(measure).alias(f"sum_{measure}")]
     names = ["rows", *[f"{part}_{m}" for m in _MEASURES for part in ("known", "sum")]]
     again = [F.sum(c).alias(c) for c in names]
-    parts = _added_up(rows.drop("assay"), ["unique_id", *ROLLUP_KEYS], totals, again, more_parts(df))
-    return merge_studies(parts.withColumns(labels)) if labels else parts
+    return _added_up(rows.drop("assay"), ["unique_id", *ROLLUP_KEYS], totals, again, more_parts(df), labels)
 
 
 def merge_studies(parts: DataFrame) -> DataFrame:
